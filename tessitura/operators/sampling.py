@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions.draws import SEED, draw, pick, unit
+from tessitura.functions.words import let
 
 
 def top_by_count(counts: DataFrame, by: list[str], value: str, n: str, cap: int, salts: int = 64) -> DataFrame:
@@ -58,9 +59,11 @@ def _noisy(items: Column, key: Column, rate: Column, seed, make, vocab: Column)
         .otherwise(F.array(item)),
     )
     spare = draw(seed, key, F.lit("empty"))
-    flat = F.flatten(out)
-    return F.when(F.size(flat) > 0, flat).otherwise(
-        F.array(make(F.element_at(vocab, pick(spare, 1, F.size(vocab)))))
+    return let(
+        F.flatten(out),
+        lambda f: F.when(F.size(f) > 0, f).otherwise(
+            F.array(make(F.element_at(vocab, pick(spare, 1, F.size(vocab)))))
+        ),
     )
 
 
