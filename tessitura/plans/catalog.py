@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.plans import scoring
+from tessitura.plans import scoring, text
 
-MODULES = (scoring,)
+MODULES = (text, scoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
