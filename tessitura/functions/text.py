@@ -98,7 +98,7 @@ def fold_rare(text: Column, allowed: Iterable[str]) -> Column:
 def charset_ratio(line: Column, allowed: Column) -> Column:
     """Share of code points outside `allowed` (a string column of the permitted characters)."""
     return F.when(F.length(line) == 0, F.lit(0.0)).otherwise(
-        F.length(F.translate(line, allowed, F.lit(""))) / F.length(line)
+        F.length(F.call_function("translate", line, allowed, F.lit(""))) / F.length(line)
     )
 
 

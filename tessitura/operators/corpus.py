@@ -69,7 +69,7 @@ def char_vocab(texts: DataFrame, text: str = "sentence", min_count: int = 25) ->
     kept = charset_counts(texts, text).where(F.col("n") >= min_count).select("char", "n", F.lit(0).alias("tail"))
     spark = texts.sparkSession
     specials = spark.createDataFrame(
-        [("|", None, 1), ("[UNK]", None, 2), ("[PAD]", None, 3)], "char string, n bigint, tail int"
+        [("|", 0, 1), ("[UNK]", 0, 2), ("[PAD]", 0, 3)], "char string, n bigint, tail int"
     )
     order = Window.orderBy("tail", "char")
     return kept.unionByName(specials).select(

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.plans import scoring, text
+from tessitura.plans import corpus, scoring, text
 
-MODULES = (text, scoring)
+MODULES = (text, corpus, scoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -318,7 +318,7 @@ SQL = {
     "char_vocab": Q.query(
         Q.SENT, _CHARS.format(src="sent"),
         """all_c AS (SELECT c AS char, n, 0 AS tail FROM chars WHERE n >= 25
-             UNION ALL SELECT '|', NULL, 1 UNION ALL SELECT '[UNK]', NULL, 2 UNION ALL SELECT '[PAD]', NULL, 3)""",
+             UNION ALL SELECT '|', 0, 1 UNION ALL SELECT '[UNK]', 0, 2 UNION ALL SELECT '[PAD]', 0, 3)""",
         "SELECT char, row_number() OVER (ORDER BY tail, char) - 1 AS id, n FROM all_c",
     ),
     "word_vocab": Q.query(
