@@ -220,7 +220,7 @@ def oov_rate(hyps: DataFrame, vocab: DataFrame, text: str = "hyp") -> DataFrame:
     word weighs no more than a rare one.
     """
     counted = word_counts(hyps, text)
-    joined = counted.join(vocab.select("lang", "word", F.lit(1).alias("_known")), ["lang", "word"], "left")
+    joined = counted.join(vocab.select("lang", "word", F.col("word").alias("_known")), ["lang", "word"], "left")
     sums = joined.groupBy("lang").agg(
         F.sum("n").alias("tokens"), F.sum(F.when(F.col("_known").isNull(), F.col("n")).otherwise(0)).alias("oov")
     )
@@ -263,12 +263,12 @@ def file_manifest_profile(paths: DataFrame, expected: DataFrame | None = None, p
 
 def id_reconcile(wanted: DataFrame, got: DataFrame, key: str = "id") -> DataFrame:
     """Sizes of two id sets, their overlap, and what either side lacks."""
-    a = wanted.select(key).distinct().withColumn("_a", F.lit(True))
-    b = got.select(key).distinct().withColumn("_b", F.lit(True))
+    a = wanted.select(key).distinct().withColumn("_a", F.col(key))
+    b = got.select(key).distinct().withColumn("_b", F.col(key))
     sums = a.join(b, key, "full_outer").agg(
         F.count("_a").alias("wanted"),
         F.count("_b").alias("got"),
-        F.count_if(F.col("_a") & F.col("_b")).alias("overlap"),
+        F.count_if(F.col("_a") == F.col("_b")).alias("overlap"),
         F.count_if(F.col("_b").isNull()).alias("missing"),
         F.count_if(F.col("_a").isNull()).alias("unexpected"),
     )

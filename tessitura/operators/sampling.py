@@ -164,12 +164,12 @@ def length_buckets(rows: DataFrame, length: str, key: str, size: int) -> DataFra
     sorted in one task.
     """
     hexed = rows.withColumn("_d", draw(0, F.col(key)))
-    inside = hash_rank(hexed, ["lang", length], "_d", rank="_in")
+    inside = hash_rank(hexed, ["lang", length], "_d", rank="_at")
     hist = rows.groupBy("lang", length).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("lang").orderBy(length).rowsBetween(Window.unboundedPreceding, -1)
     starts = hist.select("lang", length, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     placed = inside.join(starts, ["lang", length])
-    return placed.withColumn("batch", F.floor((F.col("_start") + F.col("_in")) / size)).drop("_d", "_in", "_start")
+    return placed.withColumn("batch", F.floor((F.col("_start") + F.col("_at")) / size)).drop("_d", "_at", "_start")
 
 
 def padding_waste(batched: DataFrame, length: str) -> DataFrame:

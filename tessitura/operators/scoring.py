@@ -6,6 +6,8 @@ share, reweighting and resample sums them instead of aligning again.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +132,19 @@ def _interval(resampled: DataFrame, by: list[str], alpha: float) -> DataFrame:
     )
 
 
+def _poisson_steps(terms: int = 12) -> list[float]:
+    """P(X <= k) of Poisson(1) for k < terms; the tail beyond is below one draw step."""
+    steps, term, upto = [], math.exp(-1), 0.0
+    for k in range(terms):
+        upto += term
+        steps.append(upto)
+        term /= k + 1
+    return steps
+
+
+POISSON_STEPS = _poisson_steps()
+
+
 def bootstrap_ci(counts: DataFrame, key: str, n_boot: int = 400, seed: int = 1337, alpha: float = 0.05, mode: str = "exact") -> DataFrame:
     """Percentile interval on the pooled score from resampled edit counts.
 
@@ -140,12 +155,9 @@ def bootstrap_ci(counts: DataFrame, key: str, n_boot: int = 400, seed: int = 133
     """
     if mode == "poisson":
         u = unit(draw(seed, F.col(key), F.col("rep")))
-        # P(X <= k) of Poisson(1); beyond k = 11 the tail is below one draw step.
-        weight, term, upto = F.lit(0), 0.36787944117144233, 0.0
-        for k in range(12):
-            upto += term
-            weight = weight + (u >= F.lit(upto)).cast("int")
-            term /= k + 1
+        weight = F.lit(0)
+        for step in POISSON_STEPS:
+            weight = weight + (u >= F.lit(step)).cast("int")
         rows = counts.select(key, *EDITS, F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("rep"))
         rows = rows.withColumn("w", weight)
     elif mode == "exact":
@@ -170,7 +182,7 @@ def score_pairs(refs: DataFrame, hyps: DataFrame, key: str) -> tuple[DataFrame,
     pairs = refs.join(hyps, key)
     coverage = (
         refs.select(key)
-        .join(hyps.select(key, F.lit(1).alias("_hit")), key, "left")
+        .join(hyps.select(key, F.col(key).alias("_hit")), key, "left")
         .agg(F.count("*").alias("expected"), F.count("_hit").alias("matched"))
         .withColumn("coverage", F.col("matched") / F.col("expected"))
     )

@@ -11,7 +11,7 @@ from tessitura.operators.profile import NOT_SPACE
 
 def pick_template(submission: DataFrame, templates: DataFrame, key: str = "ID") -> DataFrame:
     """The template (`template, ID`) sharing most ids with a file; ties and no match give the first, noted."""
-    ids = submission.select(key).distinct().withColumn("_hit", F.lit(1))
+    ids = submission.select(key).distinct().withColumn("_hit", F.col(key))
     counts = templates.join(ids, key, "left").groupBy("template").agg(
         F.count("*").alias("expected"), F.count("_hit").alias("overlap")
     )

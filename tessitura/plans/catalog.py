@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.plans import corpus, scoring, text
+from tessitura.plans import corpus, routing, scoring, text
 
-MODULES = (text, corpus, scoring)
+MODULES = (text, corpus, scoring, routing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

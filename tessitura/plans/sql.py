@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+NOT_SPACE = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]+"
 PUNCT = "'!\"&''(),-./:;?«»“”'"
 # The accented letters of the tables, spelled as characters normalised text cannot hold,
 # since DuckDB's levenshtein compares bytes.
