@@ -201,7 +201,7 @@ def _best(name: str, source: str, where: str = "true") -> str:
 
 _AGREE = """cells AS MATERIALIZED (SELECT x.rule AS a, y.rule AS b, x.lang AS lang_a, y.lang AS lang_b, count(*) AS n
   FROM rt x JOIN rt y ON x.utt_id = y.utt_id AND x.rule < y.rule GROUP BY ALL)"""
-_LABELLED = "lm AS (SELECT rule AS router, lang, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY rule) AS share FROM rt GROUP BY ALL)"
+_LABELLED = "lm AS (SELECT rule AS router, lang, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY rule) AS share FROM rt GROUP BY rule, lang)"
 
 SQL = {
     "nb_scores": Q.query(BASE, "SELECT utt_id, model_lang, round(score, 6) AS score, tokens FROM base"),
@@ -258,7 +258,7 @@ SQL = {
         """SELECT utt.lang AS truth, CASE WHEN f = s THEN f WHEN votes AND t = f THEN f WHEN votes AND t = s THEN s ELSE f END AS lang, NOT votes AS abstained, count(*) AS n
            FROM v JOIN utt USING (utt_id) GROUP BY ALL""",
     ),
-    "confusion": Q.query(PAIRS, "SELECT truth, pred, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY truth), 6) AS share FROM pr GROUP BY ALL"),
+    "confusion": Q.query(PAIRS, "SELECT truth, pred, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY truth), 6) AS share FROM pr GROUP BY truth, pred"),
     "class_recall": Q.query(
         PAIRS,
         "r AS (SELECT p.truth AS t, count(*) AS support, count(*) FILTER (p.truth = p.pred) AS hits FROM pr p GROUP BY ROLLUP (p.truth))",
