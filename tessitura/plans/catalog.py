@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.plans import corpus, ngram, punct, routing, scoring, text
+from tessitura.plans import checks, corpus, ngram, punct, routing, scoring, text
 
-MODULES = (text, corpus, scoring, routing, punct, ngram)
+MODULES = (text, corpus, scoring, routing, punct, ngram, checks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
