@@ -203,7 +203,7 @@ def _side(name: str, source: str, col: str) -> str:
 
 
 _IDS = """ids AS (SELECT count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (want_at IS NULL) AS unexpected, sum(greatest(coalesce(n, 1) - 1, 0)) AS dups,
-    count(*) FILTER (at <> want_at) AS moved, count(want_at) AS expected FROM tpl FULL JOIN (SELECT ID, count(*) AS n, min(row_no) AS at FROM sub GROUP BY ID) USING (ID)),
+    count(*) FILTER (got_at <> want_at) AS moved, count(want_at) AS expected FROM tpl FULL JOIN (SELECT ID, count(*) AS n, min(row_no) AS got_at FROM sub GROUP BY ID) USING (ID)),
 unseen AS (SELECT count(*) AS k FROM (SELECT DISTINCT unnest(string_split(coalesce(t, ''), '')) AS c FROM sub) a WHERE c <> ''
     AND c NOT IN (SELECT DISTINCT unnest(string_split(ref, '')) FROM utt))"""
 _RULES = """SELECT rule, severity, round(value, 6) AS value FROM (

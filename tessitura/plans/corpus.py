@@ -223,7 +223,22 @@ def align_files(spark, sf_dir):
     return reports[0].unionByName(reports[1])
 
 
+def incremental_corpus(spark, sf_dir):
+    """The corpus as a stream over the documents folder, run to the end of what is there."""
+    from tessitura.session import shared_folder
+    from tessitura.streaming.incremental import document_stream
+    from tessitura.streaming.incremental import incremental_corpus as run
+
+    indomain = V.sentences(spark, sf_dir).where(F.col("source") == "src0")
+    allowed = C.charset(indomain, "sentence", 25).first()["allowed"]
+    sink = shared_folder(spark, "sink")
+    stream = document_stream(spark, sf_dir, name="documents.parquet")
+    run(stream, eval_sentences(spark, sf_dir), allowed, sink, shared_folder(spark, "stream")).awaitTermination()
+    return spark.read.schema("lang string, sentence string").parquet(sink)
+
+
 QUERIES = {
+    "incremental_corpus": incremental_corpus,
     "corpus_sources": corpus_sources, "dedupe_prioritised": dedupe_prioritised, "cap_words": cap_words,
     "corpus_manifest": corpus_manifest, "write_manifest": write_manifest, "corpus_verdict": corpus_verdict,
     "write_corpus": write_corpus, "holdout_by_id": holdout_by_id, "holdout_by_content": holdout_by_content,
@@ -284,6 +299,11 @@ _NAMES = ("column", "prefix", "measured", "stage", "external", "model")
 _LEFT = " ".join(f"LEFT JOIN m_{n} USING (utt_id)" for n in _NAMES)
 
 SQL = {
+    "incremental_corpus": Q.query(
+        Q.SENT, _EVAL, _DIM, _CAND.split("cand AS MATERIALIZED")[0].rstrip().rstrip(","),
+        """SELECT DISTINCT lang, sentence FROM sent, okchars WHERE length(sentence) >= 8 AND contains(sentence, ' ')
+             AND length(translate(sentence, s, '')) / length(sentence) <= 0.02::DOUBLE AND sentence NOT IN (SELECT sentence FROM evals)""",
+    ),
     "corpus_sources": Q.query(
         _DIM,
         """SELECT lang, source, licence, count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM documents JOIN dim USING (source)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,14 +34,20 @@ def local_session(cpus: int | str = 8, memory: str = "12g", name: str = "tessitu
     return spark
 
 
-def reliable_checkpoint(df, eager: bool = True):
-    """Cut the lineage of `df` through the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """A fresh folder below the one the cluster names in spark.checkpoint.dir.
 
-    The folder named by spark.checkpoint.dir is used as it is; a private one is
-    made only where the session names none, which is the single-machine case.
+    Only a session that names none, as in tests, gets a private one.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix=f"tessitura-{prefix}-")
+
+
+def reliable_checkpoint(df, eager: bool = True):
+    """Cut the lineage of `df` through the cluster's shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessitura-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint(eager=eager)

@@ -18,9 +18,9 @@ DOCUMENTS = StructType(
 )
 
 
-def document_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet documents as a file stream; the schema is declared, never inferred."""
-    reader = spark.readStream.schema(DOCUMENTS)
+def document_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, name: str = "*.parquet") -> DataFrame:
+    """Parquet documents below `path` as a file stream; the schema is declared, never inferred."""
+    reader = spark.readStream.schema(DOCUMENTS).option("pathGlobFilter", name)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
