@@ -23,7 +23,12 @@ ALL_PUNCTUATION = "!\"&'(),-./:;?«»“”"
 BLANK_FILL = "a"
 # Unicode white space as Python's str.isspace sees it.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
-NOT_KEPT = r"[^\p{L}" + KEPT_PUNCTUATION + "]+"
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+# Runs to be replaced by one space. A lone plain space already is one and is left
+# alone: text is mostly single-spaced, and every match costs. `a-z` only shortens the
+# common test.
+NOT_KEPT = r"[^a-z\p{L}" + KEPT_PUNCTUATION + r"]{2,}|[^a-z\p{L} " + KEPT_PUNCTUATION + "]"
+WIDE = SPACE + "{2,}|(?! )" + SPACE
 SENTENCE_BREAK = r"(?<=[.!?])" + SPACE + r"+|\n"
 # Below U+0300 composition is the identity.
 MAY_COMPOSE = r"[^\x{0}-\x{2FF}]"
@@ -44,7 +49,7 @@ def compose(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Collapse every run of white space to one space and trim."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(text, WIDE, " "))
 
 
 def _keep_letters(text: Column) -> Column:

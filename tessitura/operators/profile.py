@@ -146,8 +146,8 @@ def punct_density(rows: DataFrame, text: str, by: list[str]) -> DataFrame:
         {
             "periods_per_row": F.col("periods") / F.col("n"),
             "commas_per_row": F.col("commas") / F.col("n"),
-            "periods_per_1000": 1000 * F.col("periods") / F.col("words"),
-            "commas_per_1000": 1000 * F.col("commas") / F.col("words"),
+            "periods_per_1000": F.try_divide(1000 * F.col("periods"), F.col("words")),
+            "commas_per_1000": F.try_divide(1000 * F.col("commas"), F.col("words")),
             "end_period_share": F.col("end_period") / F.col("n"),
         }
     )
@@ -172,7 +172,7 @@ def repetition_rate(rows: DataFrame, text: str, key: str, n: int = 4) -> DataFra
     grams = ngrams(words(F.col(text)), n, sentinels=False)
     per = rows.select("lang", let(grams, lambda g: F.struct(F.size(g).alias("total"), F.size(F.array_distinct(g)).alias("kinds"))).alias("g"))
     sums = per.groupBy("lang").agg(F.sum("g.total").alias("grams"), F.sum(F.col("g.total") - F.col("g.kinds")).alias("repeats"))
-    return sums.withColumn("rate", F.col("repeats") / F.col("grams"))
+    return sums.withColumn("rate", F.try_divide("repeats", "grams"))
 
 
 def repeated_gram_share(rows: DataFrame, text: str, n: int = 4) -> DataFrame:
@@ -189,8 +189,8 @@ def token_jaccard(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     sets = pairs.select(*by, F.size(F.array_intersect(x, y)).alias("both"), F.size(F.array_union(x, y)).alias("either"))
     return sets.groupBy(*by).agg(
         F.count("*").alias("n"),
-        F.avg(F.when(F.col("either") == 0, 1.0).otherwise(F.col("both") / F.col("either"))).alias("mean_jaccard"),
-        (F.sum("both") / F.sum("either")).alias("pooled_jaccard"),
+        F.avg(F.when(F.col("either") == 0, 1.0).otherwise(F.try_divide("both", "either"))).alias("mean_jaccard"),
+        F.try_divide(F.sum("both"), F.sum("either")).alias("pooled_jaccard"),
     )
 
 
@@ -210,7 +210,7 @@ def glued_token_rate(pairs: DataFrame, ref: str, hyp: str, by: list[str]) -> Dat
         *by, F.size("_h").alias("tokens"), F.size(F.filter("_h", lambda w: F.array_contains(F.col("_g"), w))).alias("glued")
     )
     sums = counted.groupBy(*by).agg(F.sum("tokens").alias("tokens"), F.sum("glued").alias("glued"))
-    return sums.withColumn("rate", F.col("glued") / F.col("tokens"))
+    return sums.withColumn("rate", F.try_divide("glued", "tokens"))
 
 
 def oov_rate(hyps: DataFrame, vocab: DataFrame, text: str = "hyp") -> DataFrame:

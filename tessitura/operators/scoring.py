@@ -13,20 +13,17 @@ from pyspark.sql import functions as F
 
 from tessitura.functions.distance import edit_distance
 from tessitura.functions.draws import draw, pick, unit
-from tessitura.functions.text import SPACE, scorer_normalise
-from tessitura.functions.words import word_code_pair
+from tessitura.functions.text import SPACE, WHITE, scorer_normalise
+from tessitura.functions.words import word_code_pair, words
 
 EDITS = ["word_edits", "ref_words", "char_edits", "ref_chars"]
-_EDGES = f"^{SPACE}+|{SPACE}+$"
-
-
 def _side(text: Column, case_sensitive: bool) -> Column:
-    return F.regexp_replace(scorer_normalise(text, case_sensitive), _EDGES, "")
+    return F.btrim(scorer_normalise(text, case_sensitive), F.lit(WHITE))
 
 
 def _metric_words(text: Column) -> Column:
     """Words as the metric sees them: runs of white space collapse, edges go, split on the space."""
-    return F.filter(F.split(F.regexp_replace(text, SPACE + "{2,}", " "), " ", -1), lambda w: w != "")
+    return words(F.regexp_replace(text, SPACE + "{2,}", " "))
 
 
 def edit_counts(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", case_sensitive: bool = False) -> DataFrame:
@@ -184,7 +181,7 @@ def score_pairs(refs: DataFrame, hyps: DataFrame, key: str) -> tuple[DataFrame,
         refs.select(key)
         .join(hyps.select(key, F.col(key).alias("_hit")), key, "left")
         .agg(F.count("*").alias("expected"), F.count("_hit").alias("matched"))
-        .withColumn("coverage", F.col("matched") / F.col("expected"))
+        .withColumn("coverage", F.try_divide("matched", "expected"))
     )
     return pairs, coverage
 

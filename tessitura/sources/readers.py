@@ -27,7 +27,9 @@ def read_escaped_csv(spark: SparkSession, path: str, schema: StructType, mode: s
         raise ValueError(f"unknown mode {mode!r}")
     wide = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     parsed = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(wide).csv(path)
-    bad = parsed.where(F.col(CORRUPT).isNotNull())
+    # Spark refuses to read the reject column alone; touching a data column keeps both in the scan.
+    touched = F.length(F.concat_ws("", schema.fields[0].name, CORRUPT)) >= 0
+    bad = parsed.where(F.col(CORRUPT).isNotNull() & touched)
     rejected = bad.select(CORRUPT) if mode == "quarantine" else bad.select(F.lit(None).cast("string").alias(CORRUPT))
     return parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rejected
 
