@@ -2,38 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions.words import tokens
 from tessitura.operators.joins import tiered_lookup
 from tessitura.operators.routing import argmax_route
+from tessitura.session import reliable_checkpoint
+
+_ROW = "\u0000"  # never a token: white-space splitting leaves it only if a text holds it alone
 
 
 def nb_fit(rows: DataFrame, text: str, langs: list[str]) -> tuple[DataFrame, DataFrame]:
     """`(words, classes)`.
 
-    `words`: one row per training word with its count `n` and an array `loglik`, one
-    entry per language in the order of `langs` (NULL where the language never used
-    it). `classes`: `lang, logprior, default`; the default is what an unseen word
+    `words`: one row per training word with its count `n` and an array `gain`, one
+    entry per language in the order of `langs`, the logarithm of count + 1 (NULL where
+    the language never used the word). `classes`: `lang, logprior, default`; the default is what an unseen word
     costs, which counts instead of being skipped.
     """
-    counts = rows.select("lang", F.explode(tokens(F.lower(text))).alias("word")).groupBy("word", "lang").agg(F.count("*").alias("c"))
-    wide = counts.groupBy("word").agg(
-        F.sum("c").alias("n"), *[F.sum(F.when(F.col("lang") == lg, F.col("c"))).alias(f"_{lg}") for lg in langs]
+    # Every row adds one pseudo word, so that one pass also counts the documents. The
+    # finished table feeds several steps of scoring and is checkpointed.
+    ws = F.concat(tokens(F.lower(text)), F.array(F.lit(_ROW)))
+    counts = rows.select("lang", F.explode(ws).alias("word")).groupBy("word", "lang").agg(F.count("*").alias("c"))
+    wide = reliable_checkpoint(
+        counts.groupBy("word").agg(
+            F.sum("c").alias("n"), *[F.sum(F.when(F.col("lang") == lg, F.col("c"))).alias(f"_{lg}") for lg in langs]
+        )
+    )
+    real = wide.where(F.col("word") != _ROW)
+    stats = F.array(
+        *[
+            F.struct(
+                F.lit(lg).alias("lang"),
+                F.sum(F.when(F.col("word") == _ROW, F.col(f"_{lg}"))).alias("docs"),
+                F.coalesce(F.sum(F.when(F.col("word") != _ROW, F.col(f"_{lg}"))), F.lit(0)).alias("tokens"),
+            )
+            for lg in langs
+        ]
     )
-    vocab = wide.agg(F.count("*")).scalar()
-    totals = counts.groupBy("lang").agg(F.sum("c").alias("tokens"))
-    docs = rows.groupBy("lang").agg(F.count("*").alias("docs"))
-    all_docs = rows.agg(F.count("*")).scalar()
-    classes = docs.join(totals, "lang").select(
+    vocab = F.count_if(F.col("word") != _ROW)
+    totals = wide.agg(stats.alias("s"), vocab.alias("v"))
+    per = totals.select("v", F.explode("s").alias("x")).select("v", "x.*").where(F.col("docs") > 0)
+    classes = per.select(
         "lang",
-        F.log(F.col("docs") / all_docs).alias("logprior"),
-        F.log(1 / (F.col("tokens") + vocab)).alias("default"),
+        F.log(F.col("docs") / F.sum("docs").over(Window.partitionBy())).alias("logprior"),
+        F.log(1 / (F.col("tokens") + F.col("v"))).alias("default"),
     )
     # ln((c + 1) / denominator) = ln(c + 1) + default: the table needs no join with the classes.
-    loglik = F.array(*[F.log(F.col(f"_{lg}") + 1.0) for lg in langs])
-    return wide.select("word", "n", loglik.alias("gain")), classes
+    gain = F.array(*[F.log(F.col(f"_{lg}") + 1.0) for lg in langs])
+    return real.select("word", "n", gain.alias("gain")), classes
 
 
 def nb_scores(rows: DataFrame, text: str, key: str, model: tuple[DataFrame, DataFrame], langs: list[str]) -> DataFrame:
