@@ -224,7 +224,6 @@ _CHARS = """chars AS (SELECT c, count(*) AS n FROM (
   SELECT unnest(string_split(replace(sentence, ' ', ''), '')) AS c FROM {src}) WHERE c <> '' GROUP BY c)"""
 _ALLOWED = f"allowed AS MATERIALIZED (SELECT list(c) AS cs, ' ' || string_agg(c, '' ORDER BY c) AS s FROM chars WHERE n >= {RARE})"
 _WORD_RE = r"'[^\s\x0b\x1c-\x1f\x85\p{Z}]+'"
-_SCOPES = "UNION ALL SELECT 'overall', "
 
 
 def _feature_sql() -> str:
@@ -238,7 +237,6 @@ def _feature_sql() -> str:
     return "[" + ", ".join(f"'{k}=' || {v}" for k, v in f.items()) + "]"
 
 
-_TOKENS = f"string_split({Q.squeeze('ref')}, ' ')"
 _LABELLED = f"""lab AS MATERIALIZED (
   SELECT utt_id, lang, list_filter(list_transform(string_split(ref, ' '), lambda t: {{'word': translate(t, {Q.PUNCT}, ''),
     'label': CASE WHEN suffix(t, '.') THEN 1 WHEN suffix(t, ',') THEN 2 ELSE 0 END}}), lambda s: s.word <> '') AS p FROM utt)"""
