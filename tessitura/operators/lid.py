@@ -68,12 +68,13 @@ def nb_scores(rows: DataFrame, text: str, key: str, model: tuple[DataFrame, Data
         F.sum("m").alias("tokens"),
         *[F.sum(F.col("m") * F.coalesce(F.get("gain", F.lit(i)), F.lit(0.0))).alias(f"_{lg}") for i, lg in enumerate(langs)],
     )
+    # The classes are one row per language.
     stacked = sums.select(
         key,
         "tokens",
         F.explode(F.array(*[F.struct(F.lit(lg).alias("lang"), F.col(f"_{lg}").alias("g")) for lg in langs])).alias("x"),
     ).select(key, "tokens", "x.*")
-    scored = stacked.join(classes, "lang").select(
+    scored = stacked.join(F.broadcast(classes), "lang").select(
         key,
         F.col("lang").alias("model_lang"),
         (F.col("logprior") + F.col("g") + F.col("tokens") * F.col("default")).alias("score"),

@@ -48,7 +48,7 @@ def zscore_rules(scores: DataFrame) -> DataFrame:
     stats = scores.groupBy("model_lang", "rule").agg(
         F.avg("score").alias("_mu"), F.stddev_pop("score").alias("_sd")
     )
-    joined = scores.join(stats, ["model_lang", "rule"])
+    joined = scores.join(F.broadcast(stats), ["model_lang", "rule"])
     sd = F.when(F.col("_sd") < 1e-9, 1.0).otherwise(F.col("_sd"))
     return joined.select(
         "utt_id", "model_lang", F.concat(F.lit("z:"), F.col("rule")).alias("rule"), ((F.col("score") - F.col("_mu")) / sd).alias("score")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions.draws import SEED, draw, pick, unit
 from tessitura.functions.words import let
+from tessitura.session import broadcast_if_small
 
 
 def top_by_count(counts: DataFrame, by: list[str], value: str, n: str, cap: int, salts: int = 64) -> DataFrame:
@@ -123,7 +124,7 @@ def stratified_devset(rows: DataFrame, mix: DataFrame, key: str, n: int = 900, s
     order = Window.partitionBy("lang").orderBy(draw(seed, F.col(key)), key)
     first = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
     quota = mix.select("lang", F.bround(F.col("share") * n).cast("bigint").alias("_quota"))
-    return first.join(quota, "lang").where(F.col("_r") <= F.col("_quota")).drop("_r", "_quota")
+    return first.join(broadcast_if_small(quota), "lang").where(F.col("_r") <= F.col("_quota")).drop("_r", "_quota")
 
 
 def devset_shortage(rows: DataFrame, mix: DataFrame, n: int = 900) -> DataFrame:
@@ -150,7 +151,8 @@ def mixture_sample(rows: DataFrame, weights: DataFrame, key: str, n: Column | in
         "lang", "_pool", F.bround(F.col("weight") / total * n).cast("bigint").alias("_quota")
     )
     copies = F.floor(F.col("_quota") / F.col("_pool")) + (F.col("rank") < F.col("_quota") % F.col("_pool")).cast("bigint")
-    sampled = ranked.join(quotas, "lang").withColumn("_c", copies).where(F.col("_c") > 0)
+    # The quotas are one row per language.
+    sampled = ranked.join(F.broadcast(quotas), "lang").withColumn("_c", copies).where(F.col("_c") > 0)
     return sampled.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_c")))).drop(
         "_d", "_pool", "_quota", "_c"
     )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Adaptive execution carries the size decisions: it broadcasts a join side only
 # after measuring it, splits skewed join partitions and merges small ones.
@@ -45,6 +46,15 @@ def shared_folder(spark: SparkSession, prefix: str) -> str:
     return tempfile.mkdtemp(prefix=f"tessitura-{prefix}-")
 
 
+def broadcast_if_small(df, rows: int = 100_000):
+    """Hint a broadcast after counting: a table of more rows is joined as the planner sees fit.
+
+    For dimensions whose size the planner cannot know, where a shuffle would move the
+    large side by a key with few values.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def reliable_checkpoint(df, eager: bool = True):
     """Cut the lineage of `df` through the cluster's shared checkpoint folder."""
     context = df.sparkSession.sparkContext
