@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessitura.llm.decontaminate import find_passages
 from tessitura.llm.jaccard import near_duplicates
+from tessitura.llm.suffix import repeated_spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +37,16 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", *(c.alias(n) for n, c in hits().items()))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(table(spark, sf_dir, "documents"), digest=True)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -81,4 +89,26 @@ WITH d AS (
 SELECT d.doc_id, len(d.w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items,
   sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id)""",
+    "op9_suffix_array_dedup": """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 200) g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) i FROM d)
+), r AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) k FROM w
+), b AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END opens FROM r WHERE k > 1
+), n AS (
+  SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) span FROM b
+), s AS (
+  SELECT doc_id, span, min(i) a, max(i) + 100 z FROM n GROUP BY doc_id, span
+), k AS (
+  SELECT s.doc_id, s.span, s.a, s.z, coalesce(lag(z) OVER (PARTITION BY s.doc_id ORDER BY s.span), 0) p FROM s
+), t AS (
+  SELECT d.doc_id, d.h, coalesce(sum(k.z - k.a), 0)::BIGINT n_removed, count(k.a) n_spans, coalesce(max(k.z), 0) z,
+    coalesce(string_agg(substr(d.h, 2 * k.p + 1, 2 * (k.a - k.p)), '' ORDER BY k.span), '') kept
+  FROM d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id, d.h
+)
+SELECT doc_id, (length(h) // 2)::BIGINT n_bytes, n_removed, n_spans,
+  sha256(unhex(kept || substr(h, 2 * z + 1))) kept_sha256 FROM t""",
 }
