@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessitura.llm.decontaminate import find_passages
 from tessitura.llm.jaccard import near_duplicates
 from tessitura.llm.suffix import repeated_spans
+from tessitura.llm.tokens import read_tokens, write_tokens
+from tessitura.session import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +45,26 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+END_ID = 2
+
+
+def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_path(), END_ID)
+    return read_tokens(spark, folder, ids=False)
+
+
 QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_token_binary_output": op10_token_binary_output,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
