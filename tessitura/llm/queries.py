@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessitura.llm.decontaminate import find_passages
 from tessitura.llm.jaccard import near_duplicates
+from tessitura.llm.mixing import mix
 from tessitura.llm.suffix import repeated_spans
 from tessitura.llm.tokens import read_tokens, write_tokens
+from tessitura.llm.topk import top_k
 from tessitura.session import shared_folder
 
 
@@ -16,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -39,6 +46,11 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", *(c.alias(n) for n, c in hits().items()))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_spans(table(spark, sf_dir, "documents"), digest=True)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -61,8 +73,10 @@ def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_source_mixing": op7_source_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_binary_output": op10_token_binary_output,
 }
@@ -70,6 +84,17 @@ QUERIES = {
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op1_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id query_id, c.vec_id, list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)])::BIGINT score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 10""",
     "op3_ngram_jaccard_join": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') w FROM documents
@@ -107,6 +132,30 @@ WITH d AS (
 SELECT d.doc_id, len(d.w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items,
   sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id)""",
+    "op7_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size,
+    ('0x' || substr(md5('mix/' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE draw FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 weight FROM d GROUP BY source
+), f AS (
+  SELECT *, 3 * source_size AS full_size,
+    ((sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER o, 0))::DOUBLE
+      / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE) lvl
+  FROM s WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), g AS (
+  SELECT *, first_value(lvl) OVER (ORDER BY full_size <= lvl * weight, full_size / weight, source NULLS LAST) water,
+    bool_and(full_size <= lvl * weight) OVER () everything FROM f
+), t AS (
+  SELECT source, source_size, CASE WHEN everything THEN full_size::DOUBLE ELSE least(full_size::DOUBLE, water * weight) END target,
+    ('0x' || substr(md5('mix/source/' || coalesce(source, '') || '/' || CASE WHEN source IS NULL THEN 'true' ELSE 'false' END), 1, 8))::BIGINT
+      / 4294967296.0::DOUBLE u FROM g
+), n AS (
+  SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY floor(log2(size + 1) * 4), draw, size, doc_id::VARCHAR) k FROM d
+)
+SELECT doc_id, size, source_size, target,
+  (size * least(3, CASE WHEN source_size > 0 THEN floor(k * (target / source_size) + u) - floor((k - 1) * (target / source_size) + u) ELSE 0 END))::BIGINT taken
+FROM n JOIN t ON t.source IS NOT DISTINCT FROM n.source""",
     "op9_suffix_array_dedup": """
 WITH d AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents
