@@ -11,6 +11,7 @@ from tessitura.llm.mixing import mix
 from tessitura.llm.suffix import repeated_spans
 from tessitura.llm.tokens import read_tokens, write_tokens
 from tessitura.llm.topk import top_k
+from tessitura.llm.warc import read_archives, write_archives
 from tessitura.session import shared_folder
 
 
@@ -51,6 +52,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
+def op8_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder)
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_spans(table(spark, sf_dir, "documents"), digest=True)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -77,6 +84,7 @@ QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_source_mixing": op7_source_mixing,
+    "op8_warc_capture_index": op8_warc_capture_index,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_binary_output": op10_token_binary_output,
 }
@@ -156,6 +164,17 @@ WITH d AS (
 SELECT doc_id, size, source_size, target,
   (size * least(3, CASE WHEN source_size > 0 THEN floor(k * (target / source_size) + u) - floor((k - 1) * (target / source_size) + u) ELSE 0 END))::BIGINT taken
 FROM n JOIN t ON t.source IS NOT DISTINCT FROM n.source""",
+    "op8_warc_capture_index": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT payload_bytes, sha1(coalesce(html, '')) h FROM pages
+), g AS (SELECT h, max(page_id) newest FROM p GROUP BY h), v AS (
+  SELECT p.*, newest, [('0x' || substr(p.h, 5 * k + 1, 5))::BIGINT FOR k IN range(8)] five FROM p JOIN g USING (h)
+)
+SELECT page_id, payload_bytes,
+  array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> (15 - 5 * j)) & 31)::INTEGER + 1, 1) FOR j IN range(4)], '')
+    FOR x IN five], '') payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END record_type,
+  CASE WHEN page_id = newest THEN NULL ELSE newest END refers_to FROM v""",
     "op9_suffix_array_dedup": """
 WITH d AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents
