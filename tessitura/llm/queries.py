@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm.decontaminate import find_passages
+from tessitura.llm.html import extract_text
 from tessitura.llm.jaccard import near_duplicates
 from tessitura.llm.mixing import mix
 from tessitura.llm.suffix import repeated_spans
@@ -47,6 +48,11 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", *(c.alias(n) for n, c in hits().items()))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
@@ -83,6 +89,7 @@ QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_html_extraction": op6_html_extraction,
     "op7_source_mixing": op7_source_mixing,
     "op8_warc_capture_index": op8_warc_capture_index,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
