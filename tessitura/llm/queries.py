@@ -9,6 +9,7 @@ from tessitura.llm.decontaminate import find_passages
 from tessitura.llm.html import extract_text
 from tessitura.llm.jaccard import near_duplicates
 from tessitura.llm.mixing import mix
+from tessitura.llm.quality import held_out, score_quality
 from tessitura.llm.suffix import repeated_spans
 from tessitura.llm.tokens import read_tokens, write_tokens
 from tessitura.llm.topk import top_k
@@ -25,6 +26,12 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), into="score", keep=["doc_id"])
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -87,6 +94,7 @@ def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_html_extraction": op6_html_extraction,
