@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,6 +26,16 @@ from tessitura.llm.wordhash import NOT_WORD, slices, words
 FOUND = "struct<n_words: bigint, items: array<string>, spans: array<struct<start: bigint, end: bigint>>>"
 
 
+def hit_words(passages: str) -> Column:
+    return F.aggregate(f"{passages}.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+def contaminated(passages: str) -> Column:
+    """Some word is hit, and at least one word in twenty."""
+    n_hit = hit_words(passages)
+    return (n_hit > 0) & (20 * n_hit >= F.col(f"{passages}.n_words"))
+
+
 class Phrases:
     """Windows of benchmark items over numbered words, grouped by length."""
 

@@ -29,7 +29,6 @@ from tessitura.llm.components import components
 from tessitura.llm.wordhash import WHITE, Slice, mix, ngram_hashes, slices, words
 from tessitura.session import reliable_checkpoint
 
-CLASSES = 5
 LANES = 8  # signature words of 64 bits
 BROADCAST_ROWS = 500_000  # of 16 bytes of digest and an id: 12 MB
 
@@ -67,12 +66,19 @@ def _each(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Rec
                 yield batch, part.first + k, values
 
 
-def _counted_shingles(size: int):
+def _classes(percent: int) -> int:
+    """One hash class in this many holds a prefix and two thirds more."""
+    return max(1, 60 // max(1, 100 - percent))
+
+
+def _counted_shingles(size: int, percent: int):
+    classes = np.uint64(_classes(percent))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for part in slices(batch.column("text")):
-                sets = [v[v % np.uint64(CLASSES) == 0] for v in shingle_sets(part, size)]
+                sets = [v[v % classes == 0] for v in shingle_sets(part, size)]
                 lengths = [len(v) for v in sets]
                 doc = np.repeat(ids[part.first : part.first + len(sets)], lengths)
                 token = np.concatenate(sets).view(np.int64)
@@ -83,6 +89,7 @@ def _counted_shingles(size: int):
 
 def _profiles(size: int, percent: int):
     """Per document: set size, digest, group key, signature, and the prefix shingles others may share."""
+    classes = np.uint64(_classes(percent))
     names = ["doc_id", "n", "node", "prefix", *(f"s{k}" for k in range(LANES)), "tokens", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +110,7 @@ def _profiles(size: int, percent: int):
                         at[at == n] = 0
                         same = values[at] == token if n else np.zeros(len(token), bool)
                         frequency[at[same]] = counts[row].values.to_numpy()[same]
-                    later = values % np.uint64(CLASSES) != 0
+                    later = values % classes != 0
                     order = np.lexsort((values, frequency, later))[: length if n else 0]
                     shared = np.flatnonzero((frequency[order] > 1) | later[order])
                     prefix = values[order]
@@ -141,7 +148,7 @@ class _Join:
         self.docs, self.size, self.percent = docs, size, percent
 
     def profiles(self) -> DataFrame:
-        counted = self.docs.mapInArrow(_counted_shingles(self.size), "doc_id bigint, token bigint")
+        counted = self.docs.mapInArrow(_counted_shingles(self.size, self.percent), "doc_id bigint, token bigint")
         frequent = counted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
         common = counted.join(frequent, "token").groupBy("doc_id").agg(F.collect_list(F.struct("token", "n")).alias("c"))
         run, schema = _profiles(self.size, self.percent)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm.decontaminate import find_passages
+import corpus_pipeline
+from tessitura.llm.decontaminate import contaminated, find_passages, hit_words
 from tessitura.llm.html import extract_text
 from tessitura.llm.jaccard import near_duplicates
 from tessitura.llm.mixing import mix
+from tessitura.llm.pii import KINDS, find_personal_data, written
 from tessitura.llm.quality import held_out, score_quality
 from tessitura.llm.suffix import repeated_spans
-from tessitura.llm.tokens import read_tokens, write_tokens
+from tessitura.llm.tokens import END_ID, byte_level_path, read_tokens, write_tokens
 from tessitura.llm.topk import top_k
 from tessitura.llm.warc import read_archives, write_archives
 from tessitura.session import shared_folder
@@ -36,23 +38,21 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
-def hits(passages: str = "passages") -> dict:
-    """The contract's columns from the spans and items of a row."""
-    n_hit = F.aggregate(f"{passages}.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    n_words = F.col(f"{passages}.n_words")
-    return {
-        "n_words": n_words,
-        "n_hit": n_hit,
-        "n_items": F.size(f"{passages}.items").cast("long"),
-        "items_sha256": F.sha2(F.array_join(F.array_sort(f"{passages}.items"), ","), 256),
-        "contaminated": (n_hit > 0) & (20 * n_hit >= n_words),
-    }
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    of = lambda k: F.size(F.filter("personal.base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *(of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(written(F.col("personal.base")), 256).alias("base_sha256"),
+        written(F.array_sort(F.concat("personal.base", "personal.added"))).alias("spans"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_passages(docs, table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", *(c.alias(n) for n, c in hits().items()))
+    items = F.col("passages.items")
+    return found.select(
+        "doc_id", "passages.n_words", hit_words("passages").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"), contaminated("passages").alias("contaminated"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,18 +77,9 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-END_ID = 2
-
-
 def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_path(), END_ID)
+    write_tokens(table(spark, sf_dir, "documents"), folder, byte_level_path(), END_ID)
     return read_tokens(spark, folder, ids=False)
 
 
@@ -96,12 +87,14 @@ QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_personal_data": op4_personal_data,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_html_extraction": op6_html_extraction,
     "op7_source_mixing": op7_source_mixing,
     "op8_warc_capture_index": op8_warc_capture_index,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_binary_output": op10_token_binary_output,
+    "pipeline": corpus_pipeline.run,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -213,3 +206,6 @@ WITH d AS (
 SELECT doc_id, (length(h) // 2)::BIGINT n_bytes, n_removed, n_spans,
   sha256(unhex(kept || substr(h, 2 * z + 1))) kept_sha256 FROM t""",
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

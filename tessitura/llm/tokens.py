@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from tessitura.llm.files import ranged, written
 from tessitura.llm.wordhash import slices
 
+END_ID = 2
 MAGIC = b"TKD1"
 HEAD = 40
 DICTIONARY_BYTES = 64 << 10
@@ -39,6 +40,13 @@ UNEVEN = re.compile(r"\s | \s|^ | $")
 SPACE_MARK = "Ġ"  # the byte-level alphabet's letter for a space
 
 
+def byte_level_path() -> str:
+    """The byte-level vocabulary of the public tokenizers package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, a piece between single spaces at a time.
 
