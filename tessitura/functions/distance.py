@@ -1,63 +1,21 @@
 """Edit distance that stays affordable on long unsegmented text.
 
-Spark's `levenshtein` compares every pair of positions. Sentences are short, but a
-corpus holds some without a single full stop, and one of 30,000 characters would
-occupy a task for longer than the rest of its partition. Pairs beyond a size at
-which that form is measurably faster go to a bit-parallel form of the same
-recurrence over Arrow batches; the others stay in the JVM.
+Spark's `levenshtein` compares every pair of positions, but with a threshold it visits a band around the
+diagonal only and answers -1 if the distance is larger. Most pairs differ in few places, however long they are,
+so bands of growing width are tried and the first answer is taken; it is the exact distance.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import LongType
 
-LONG_CELLS = 1 << 14
+from tessitura.functions.words import let
 
-
-def bit_parallel_distance(a: str, b: str) -> int:
-    """Unit-cost edit distance; each column of the table is one big integer (Myers 1999)."""
-    start = 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
-        start += 1
-    a, b = a[start:], b[start:]
-    if not a or not b:
-        return len(a) + len(b)
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | (1 << i)
-    mask, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = mask, 0, len(a)
-    for c in b:
-        match = where.get(c, 0)
-        diagonal = (((match & up) + up) ^ up) | match | down
-        gained = down | (mask & ~(diagonal | up))
-        lost = up & diagonal
-        if gained & top:
-            score += 1
-        elif lost & top:
-            score -= 1
-        gained = ((gained << 1) | 1) & mask
-        lost = (lost << 1) & mask
-        up = lost | (mask & ~(diagonal | gained))
-        down = gained & diagonal
-    return score
-
-
-@arrow_udf(LongType())
-def _long_distance(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array(
-        [None if x is None else bit_parallel_distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())],
-        pa.int64(),
-    )
+BANDS = (16, 128, 1024)
 
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Edits between two non-NULL strings in code points."""
-    long = F.length(a).cast("bigint") * F.length(b) > LONG_CELLS
-    return F.when(long, _long_distance(F.when(long, a), F.when(long, b))).otherwise(
-        F.levenshtein(a, b).cast("bigint")
-    )
+    near = [let(F.levenshtein(a, b, band), lambda d: F.when(d >= 0, d)) for band in BANDS]
+    return F.coalesce(*near, F.levenshtein(a, b)).cast("bigint")

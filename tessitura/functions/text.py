@@ -30,16 +30,29 @@ WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 NOT_KEPT = r"[^a-z\p{L}" + KEPT_PUNCTUATION + r"]{2,}|[^a-z\p{L} " + KEPT_PUNCTUATION + "]"
 WIDE = SPACE + "{2,}|(?! )" + SPACE
 SENTENCE_BREAK = r"(?<=[.!?])" + SPACE + r"+|\n"
-# Below U+0300 composition is the identity.
-MAY_COMPOSE = r"[^\x{0}-\x{2FF}]"
+
+
+def _singletons() -> str:
+    """Ranges of characters, marks aside, that composition replaces wherever they stand."""
+    ranges: list[list[int]] = []
+    for code in range(0x340, 0x30000):
+        char = chr(code)
+        if unicodedata.decomposition(char) and unicodedata.normalize("NFC", char) != char:
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in ranges)
+
+
+# What composition may change: marks, the vowels and finals of conjoining jamo, and the singletons.
+MAY_COMPOSE = r"[\p{M}\x{1161}-\x{1175}\x{11A8}-\x{11C2}" + _singletons() + "]"
 
 
 @arrow_udf(StringType())
 def _compose(texts: pa.Array) -> pa.Array:
-    return pa.array(
-        [None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()],
-        pa.string(),
-    )
+    # Arrow's own utf8_normalize leaves NFC decomposed in the installed release.
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
 
 def compose(text: Column) -> Column:

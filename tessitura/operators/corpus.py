@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions.text import SENTENCE_BREAK, compose, normalise, normalise_composed
 from tessitura.functions.words import n_words
-from tessitura.session import broadcast_if_small, reliable_checkpoint
+from tessitura.session import dimension, reliable_checkpoint
 
 BLOCKS = 4096
 
@@ -23,7 +23,7 @@ def corpus_sources(documents: DataFrame, sources: DataFrame, include_audio_heavy
     shuffle by source would gather the largest source in one task.
     """
     chosen = sources if include_audio_heavy else sources.where(~F.col("audio_heavy"))
-    return documents.where(F.length("text") > 0).join(broadcast_if_small(chosen), "source")
+    return documents.where(F.length("text") > 0).join(dimension(chosen), "source")
 
 
 def to_sentences(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -193,12 +193,12 @@ def cap_words(sentences: DataFrame, caps: DataFrame) -> DataFrame:
     per_doc = (
         sentences.groupBy("lang", "source", "doc_id")
         .agg(F.sum(n_words(F.col("sentence"))).alias("words"))
-        .join(broadcast_if_small(caps), "source")
+        .join(dimension(caps), "source")
     )
     # One row per language and source; stored, so that counting it does not compute it twice.
     cuts = reliable_checkpoint(cut_points(per_doc, ["lang", "source"]))
     return (
-        sentences.join(broadcast_if_small(cuts), ["lang", "source"], "left")
+        sentences.join(dimension(cuts), ["lang", "source"], "left")
         .where(F.col("cut_doc").isNull() | (F.col("doc_id") <= F.col("cut_doc")))
         .drop("cut_doc")
     )
@@ -221,7 +221,7 @@ def dedupe_prioritised(sentences: DataFrame, sources: DataFrame) -> DataFrame:
     table is checkpointed; each source that can reach its cap then needs one light
     pass over it for its stopping document, the rest need none.
     """
-    ranked = sentences.join(broadcast_if_small(sources.select("source", "priority")), "source")
+    ranked = sentences.join(dimension(sources.select("source", "priority")), "source")
     indomain = ranked.where(F.col("priority") == 0)
     first = ranked.groupBy("lang", "sentence", "priority").agg(
         F.min(F.struct("doc_id", "sent_no")).alias("at")
@@ -250,7 +250,7 @@ def dedupe_prioritised(sentences: DataFrame, sources: DataFrame) -> DataFrame:
             .withColumn("cap", F.lit(cap))
         )
         cuts[priority] = {r["lang"]: r["cut_doc"] for r in cut_points(per_doc, ["lang"]).collect()}
-    names = broadcast_if_small(sources.select("source", "priority"))
+    names = dimension(sources.select("source", "priority"))
     external = (
         _winners(by_sentence, cuts)
         .where(F.col("e.priority") > 0)
@@ -287,7 +287,7 @@ def corpus_manifest(corpus: DataFrame, sources: DataFrame, documents_total: Data
 
 def corpus_totals(corpus: DataFrame, sources: DataFrame) -> DataFrame:
     """Per language: weighted sentences and words, and distinct words."""
-    weighted = corpus.join(broadcast_if_small(sources.select("source", "weight")), "source")
+    weighted = corpus.join(dimension(sources.select("source", "weight")), "source")
     totals = weighted.groupBy("lang").agg(
         F.sum("weight").alias("sentences"), F.sum(n_words(F.col("sentence")) * F.col("weight")).alias("words")
     )

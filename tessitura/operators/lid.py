@@ -63,7 +63,7 @@ def nb_scores(rows: DataFrame, text: str, key: str, model: tuple[DataFrame, Data
     """
     known, classes = model
     per_row = rows.select(key, F.explode(tokens(F.lower(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("m"))
-    gains = tiered_lookup(per_row, known, ["word"], "gain", "n", key)
+    gains = tiered_lookup(per_row, known, ["word"], "gain", key)
     sums = gains.groupBy(key).agg(
         F.sum("m").alias("tokens"),
         *[F.sum(F.col("m") * F.coalesce(F.get("gain", F.lit(i)), F.lit(0.0))).alias(f"_{lg}") for i, lg in enumerate(langs)],

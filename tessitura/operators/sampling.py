@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions.draws import SEED, draw, pick, unit
 from tessitura.functions.words import let
-from tessitura.session import broadcast_if_small
+from tessitura.session import dimension
 
 
 def top_by_count(counts: DataFrame, by: list[str], value: str, n: str, cap: int, salts: int = 64) -> DataFrame:
@@ -124,7 +124,7 @@ def stratified_devset(rows: DataFrame, mix: DataFrame, key: str, n: int = 900, s
     order = Window.partitionBy("lang").orderBy(draw(seed, F.col(key)), key)
     first = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
     quota = mix.select("lang", F.bround(F.col("share") * n).cast("bigint").alias("_quota"))
-    return first.join(broadcast_if_small(quota), "lang").where(F.col("_r") <= F.col("_quota")).drop("_r", "_quota")
+    return first.join(dimension(quota), "lang").where(F.col("_r") <= F.col("_quota")).drop("_r", "_quota")
 
 
 def devset_shortage(rows: DataFrame, mix: DataFrame, n: int = 900) -> DataFrame:

@@ -127,7 +127,7 @@ def expectations(facts: DataFrame, rules: list[tuple[str, str, str, float, str]]
 
 
 def require(checked: DataFrame) -> None:
-    """Stop on the first FAIL outcome."""
-    broken = checked.where(F.col("outcome") == "FAIL").limit(20).collect()
+    """Stop on FAIL outcomes, naming every rule that broke; there is one row per rule."""
+    broken = checked.where(F.col("outcome") == "FAIL").collect()
     if broken:
         raise ValueError("; ".join(f"{r['rule']}: {r['fact']}={r['value']} against {r['limit']}" for r in broken))

@@ -13,7 +13,7 @@ from tessitura.operators import profile as P
 from tessitura.operators import scoring as S
 from tessitura.plans import sql as Q
 from tessitura.plans import views as V
-from tessitura.session import broadcast_if_small
+from tessitura.session import dimension
 from tessitura.sources import writers
 
 CAP = 3000
@@ -92,7 +92,7 @@ def corpus_verdict(spark, sf_dir):
 
 
 def write_corpus(spark, sf_dir):
-    weighted = V.sentences(spark, sf_dir).join(broadcast_if_small(sources(spark, sf_dir).select("source", "weight")), "source")
+    weighted = V.sentences(spark, sf_dir).join(dimension(sources(spark, sf_dir).select("source", "weight")), "source")
     lines = writers.corpus_lines(weighted)
     return lines.groupBy("lang", "line").agg(F.count("*").alias("n"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from tessitura.functions.text import normalise, strip_punct
 from tessitura.functions.words import join_words, words
 from tessitura.operators.corpus import to_sentences
 from tessitura.operators.sampling import corrupt_words, noise_vocabulary
+from tessitura.session import SPREAD
 
 # Parameters of the registered queries: the tables are theirs, these are ours.
 LANGS = ("en", "fr", "de", "es")
@@ -20,21 +19,14 @@ RATE = 0.25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A provided table; a file too small to fill the cores is spread over them.
+    """A provided table as it is scanned.
 
-    On a cluster-sized table the scan already has more partitions than cores and
-    nothing is moved.
+    A single-machine session may ask (`SPREAD`) for its rows to be dealt over a number of tasks, since a file
+    of one row group cannot be split.
     """
-    scan = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    cores = spark.sparkContext.defaultParallelism
-    size = sum(_size(path) for path in scan.inputFiles()[:2])
-    few = size < cores * 16 * 1024 * 1024
-    return scan.repartition(cores) if few and size > 256 * 1024 else scan
-
-
-def _size(uri: str) -> int:
-    path = uri.removeprefix("file://")
-    return os.path.getsize(path) if os.path.exists(path) else 1 << 40
+    scan = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    spread = spark.conf.get(SPREAD, None)
+    return scan.repartition(int(spread)) if spread else scan
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution carries the size decisions: it broadcasts a join side only
 # after measuring it, splits skewed join partitions and merges small ones.
@@ -20,6 +21,10 @@ SETTINGS = {
 }
 
 
+#: How many tasks a single-machine session deals a table's rows over; unset elsewhere.
+SPREAD = "tessitura.spread"
+
+
 def local_session(cpus: int | str = 8, memory: str = "12g", name: str = "tessitura") -> SparkSession:
     """A single-JVM session for tests and the benchmark."""
     builder = (
@@ -27,6 +32,7 @@ def local_session(cpus: int | str = 8, memory: str = "12g", name: str = "tessitu
         .appName(name)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus))
+        .config(SPREAD, str(cpus))
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
@@ -38,21 +44,24 @@ def local_session(cpus: int | str = 8, memory: str = "12g", name: str = "tessitu
 def shared_folder(spark: SparkSession, prefix: str) -> str:
     """A fresh folder below the one the cluster names in spark.checkpoint.dir.
 
-    Only a session that names none, as in tests, gets a private one.
+    Only a single-machine session that names none, as in tests, gets a private one, removed at exit.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"tessitura-{prefix}-")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    own = tempfile.mkdtemp(prefix=f"tessitura-{prefix}-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
 
 
-def broadcast_if_small(df, rows: int = 100_000):
-    """Hint a broadcast after counting: a table of more rows is joined as the planner sees fit.
+def dimension(df: DataFrame) -> DataFrame:
+    """A table of one row per configured thing, such as a source or a language, read once into the plan.
 
-    For dimensions whose size the planner cannot know, where a shuffle would move the
-    large side by a key with few values.
+    The planner then knows its size and broadcasts it, or not, by its own threshold.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return df.sparkSession.createDataFrame(df.toPandas(), df.schema)
 
 
 def reliable_checkpoint(df, eager: bool = True):

@@ -1,27 +1,26 @@
 import random
-import re
-import unicodedata
 
 from pyspark.sql import functions as F
 
 from tessitura.functions import text as T
-from tessitura.functions.distance import bit_parallel_distance, edit_distance
+from tessitura.functions.distance import edit_distance
 from tessitura.functions.words import ngrams, punct_labels, word_code_pair, words
 from tessitura.operators.punct import feature_array, oracle_marks
 
 t = F.col("t")
 
 
-def test_normalise_follows_the_rule_stated_for_it(values):
-    texts = ["  Ng’anga`s CAFÉ, 12% (ok)!\t—fin…  ", "", "a  b", "½ x²y", "ŊʼA b", "ẹ́ 가"]
-
-    def expected(s):
-        s = unicodedata.normalize("NFC", s).strip()
-        s = "".join("'" if c in "’ʼ‘´`" else c for c in s).lower()
-        s = "".join(c if c.isalpha() or c.isspace() or c in ".,'’-;:!?" else " " for c in s)
-        return re.sub(r"\s+", " ", s).strip()
-
-    assert values(T.normalise(t), texts) == [expected(s) for s in texts]
+def test_normalise(values):
+    pairs = {
+        "  Ng’anga`s CAFÉ, 12% (ok)!\t—fin…  ": "ng'anga's café, ok ! fin",
+        "": "",
+        "a  b": "a b",
+        "½ x²y": "x y",
+        "ŊʼA b": "ŋ'a b",
+        "e\u0301té \u1100\u1161": "été 가",
+        "\u212b \u2019tis": "å 'tis",
+    }
+    assert values(T.normalise(t), list(pairs)) == list(pairs.values())
 
 
 def test_normalise_is_idempotent(values):
@@ -60,13 +59,8 @@ def test_period_rules_differ_only_where_they_should(values):
 
 
 def test_capfirst(values):
-    texts = [" ab. cd? ef! éa .x", "a.b", "1a. b", ""]
-
-    def expected(s):
-        s = re.sub(r"^(\s*)([a-z])", lambda m: m[1] + m[2].upper(), s)
-        return re.sub(r"([.?!]\s+)([a-z])", lambda m: m[1] + m[2].upper(), s)
-
-    assert values(T.capfirst(t), texts) == [expected(s) for s in texts]
+    pairs = {" ab. cd? ef! éa .x": " Ab. Cd? Ef! éa .x", "a.b": "A.b", "1a. b": "1a. B", "": "", "x.\ny": "X.\nY"}
+    assert values(T.capfirst(t), list(pairs)) == list(pairs.values())
 
 
 def test_fill_blank(values):
@@ -105,11 +99,11 @@ def test_distances(values, spark):
 
     rng = random.Random(7)
     pairs = [("".join(rng.choice("abé ") for _ in range(rng.randrange(40))), "".join(rng.choice("abé ") for _ in range(rng.randrange(40)))) for _ in range(200)]
-    assert all(bit_parallel_distance(a, b) == plain(a, b) for a, b in pairs)
-    long = [("ab" * 150, "ba" * 140), ("x" * 200, "")]
+    long = [("ab" * 150, "ba" * 140), ("x" * 200, ""), ("x" * 1500, "y" * 1400), ("ab" * 300, "ab" * 200 + "c" * 190)]
     rows = spark.createDataFrame(pairs + long, "a string, b string")
-    got = rows.select("a", "b", edit_distance(F.col("a"), F.col("b")).alias("d")).collect()
-    assert all(r["d"] == plain(r["a"], r["b"]) for r in got)
+    frame = rows.select("a", "b", edit_distance(F.col("a"), F.col("b")).alias("d"))
+    assert all(r["d"] == plain(r["a"], r["b"]) for r in frame.collect())
+    assert "Python" not in frame._jdf.queryExecution().toString()
     coded = rows.select(F.filter(F.split("a", " "), lambda w: w != "").alias("x"), F.filter(F.split("b", " "), lambda w: w != "").alias("y"))
     got = coded.select("x", "y", word_code_pair(F.col("x"), F.col("y")).alias("c")).select("x", "y", F.levenshtein("c.r", "c.h").alias("d")).collect()
     assert all(r["d"] == plain(r["x"], r["y"]) for r in got)

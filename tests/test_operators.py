@@ -17,28 +17,48 @@ from tessitura.operators import sampling as A
 from tessitura.operators import scoring as S
 from tessitura.operators import validation as V
 
-REFS = ["the rain fell all night", "we left before noon", "nobody asked why"]
-
-
-def multi(spark, refs, hyps, **kw):
-    pairs = spark.createDataFrame(list(zip(refs, hyps)), "ref string, hyp string")
-    return S.pooled_score(S.edit_counts(pairs, **kw)).first()["multi"]
-
-
-def test_metric_properties(spark):
-    assert multi(spark, REFS, REFS) == 1.0
-    assert multi(spark, REFS, ["", None, ""]) == 0.0
-    assert multi(spark, REFS, [r.upper() for r in REFS]) == 1.0
-    assert multi(spark, REFS, [r.upper() for r in REFS], case_sensitive=True) < 1.0
-    assert multi(spark, ["un été"], ["un ete"]) < 1.0
-    assert multi(spark, ["well, go on."], ["well go on"]) < 1.0
-    assert multi(spark, ["a  b "], [" a b"]) < 1.0  # inner white space counts as characters, never as words
-    long = " ".join(["again"] * 50)
-    pooled = multi(spark, ["yes", long], ["yes", " ".join(["x"] * 50)])
-    averaged = 0.5 * (multi(spark, ["yes"], ["yes"]) + multi(spark, [long], [" ".join(["x"] * 50)]))
-    assert pooled < averaged - 0.05
+# reference, hypothesis, and by hand: word edits, reference words, character edits, reference characters
+COUNTED = [
+    ("the cat sat", "the cat sat", 0, 3, 0, 11),
+    ("the cat sat", "the hat", 2, 3, 5, 11),
+    ("go", "go on now", 2, 1, 7, 2),
+    ("Old OAK", "old oak", 0, 2, 0, 7),
+    ("señor", "senor", 1, 1, 1, 5),
+    ("so, yes.", "so yes", 2, 2, 2, 8),
+    ("one two", None, 2, 2, 7, 7),
+]
+
+
+def counted(spark, pairs, **kw):
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id int, ref string, hyp string")
+    return S.edit_counts(rows, **kw)
+
+
+def test_edits_of_hand_counted_pairs(spark):
+    got = counted(spark, [c[:2] for c in COUNTED]).orderBy("id").collect()
+    assert [tuple(r[c] for c in S.EDITS) for r in got] == [c[2:] for c in COUNTED]
+    assert counted(spark, [("Old OAK", "old oak")], case_sensitive=True).first()["word_edits"] == 2
+
+
+def test_pooled_scores_are_ratios_of_sums(spark):
+    rows = counted(spark, [c[:2] for c in COUNTED]).withColumn("part", F.col("id") % 3)
+    w, n, c, m = (sum(x[k] for x in COUNTED) for k in (2, 3, 4, 5))
+    whole = S.pooled_score(rows).first()
+    assert abs(whole["multi"] - (1 - w / n / 2 - c / m / 2)) < 1e-12
+    parts = S.pooled_score(rows, ["part"]).agg(*[F.sum(e).alias(e) for e in S.EDITS]).first()
+    assert [parts[e] for e in S.EDITS] == [whole[e] for e in S.EDITS]
+
+
+def test_more_errors_never_score_better(spark):
+    line = "p q r s t u v w".split()
+    worse = [(" ".join(line), " ".join(["z"] * k + line[k:])) for k in range(len(line) + 1)]
+    scores = [r["multi"] for r in S.pooled_score(counted(spark, worse), ["id"]).orderBy("id").collect()]
+    assert scores[0] == 1.0 and all(a > b for a, b in zip(scores, scores[1:]))
+
+
+def test_a_reference_must_have_text(spark):
     with pytest.raises(Exception, match="empty reference"):
-        multi(spark, [" "], ["anything"])
+        counted(spark, [(" ", "anything")]).collect()
 
 
 @pytest.mark.parametrize("wer, cer, want", [(0.760125, 0.255986, 0.4919445), (0.4379, 0.1835, 0.6893), (0.9346, 0.3932, 0.3361)])
