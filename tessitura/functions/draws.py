@@ -13,9 +13,9 @@ SCALE = float(1 << 32)
 SEED = 1337
 
 
-def draw(seed: int | str, *keys: Column) -> Column:
+def draw(seed: int | str | Column, *keys: Column) -> Column:
     """The md5 of `seed|key|...`; the readers below take 32-bit slices of it."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+    return F.md5(F.concat_ws("|", seed if isinstance(seed, Column) else F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
 
 def whole(hexed: Column, part: int = 0) -> Column:

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions.draws import SEED, draw, pick, unit
-from tessitura.functions.words import let
-from tessitura.session import dimension
+from tessitura.session import dimension, reliable_checkpoint
 
 
 def top_by_count(counts: DataFrame, by: list[str], value: str, n: str, cap: int, salts: int = 64) -> DataFrame:
@@ -30,64 +29,61 @@ def top_by_count(counts: DataFrame, by: list[str], value: str, n: str, cap: int,
     return fine.where(F.col("_r") <= cap).drop("_r")
 
 
-def noise_vocabulary(texts: DataFrame, text: str, cap: int = 16384) -> DataFrame:
-    """One row, `vocab`: an ordered array of the `cap` most frequent words.
+def noise_vocabulary(texts: DataFrame, text: str) -> DataFrame:
+    """`idx, word`: every distinct word of single-spaced texts, numbered from 0 in the order of its md5."""
+    found = texts.select(F.explode(F.split(F.col(text), " ")).alias("word")).where(F.col("word") != "").distinct()
+    numbered = hash_rank(found.withColumns({"_all": F.lit(0), "_d": F.md5("word")}), ["_all"], "_d", rank="idx")
+    return reliable_checkpoint(numbered.select("idx", "word"))  # counted and joined
 
-    The cap bounds what each task holds; it limits where noise words come from,
-    not the rows that receive them.
-    """
-    counts = (
-        texts.select(F.explode(F.split(F.col(text), " ")).alias("word"))
-        .where(F.col("word") != "")
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-    )
-    return top_by_count(counts, [], "word", "n", cap).agg(F.sort_array(F.collect_list("word")).alias("vocab"))
 
+def _noisy(rows: DataFrame, row_id: list[str], items: Column, key: Column, rate: Column, seed, vocab: DataFrame, make, out: str) -> DataFrame:
+    """Per item: substitute below .7 of the rate, delete below .9, insert after it below 1.
+
+    The draws are hashes of (seed, key, position) and give word numbers. Only positions that need a noise word
+    meet the vocabulary, by number, so no word is hot; a row's noise words then return to it under `row_id`.
+    A row left without items gets one noise word.
+    """
+    size = vocab.count()
 
-def _noisy(items: Column, key: Column, rate: Column, seed, make, vocab: Column) -> Column:
-    """Per item: substitute below .7 of the rate, delete below .9, insert after it below 1."""
     def drawn(w: Column, i: Column) -> Column:
         d = draw(seed, key, i)
-        return F.struct(unit(d).alias("u"), pick(d, 1, F.size(vocab)).alias("v"))
-
-    out = F.zip_with(
-        items,
-        F.transform(items, drawn),
-        lambda item, d: F.when(d["u"] < rate * 0.7, F.array(make(F.element_at(vocab, d["v"]))))
-        .when(d["u"] < rate * 0.9, F.slice(F.array(item), 1, 0))
-        .when(d["u"] < rate, F.array(item, make(F.element_at(vocab, d["v"]))))
-        .otherwise(F.array(item)),
-    )
-    spare = draw(seed, key, F.lit("empty"))
-    return let(
-        F.flatten(out),
-        lambda f: F.when(F.size(f) > 0, f).otherwise(
-            F.array(make(F.element_at(vocab, pick(spare, 1, F.size(vocab)))))
-        ),
-    )
-
-
-def corrupt_words(words: Column, key: Column, vocab: Column, rate: float, seed: int | str = SEED) -> Column:
-    """A simulated recogniser: word errors at `rate`, 70 % substitutions, 20 % deletions, 10 % insertions.
-
-    Narrow: the draws are hashes of (seed, key, position).
+        return F.struct(w.alias("item"), (2 * i).alias("at"), unit(d).alias("u"), (pick(d, 1, F.lit(size)) - 1).cast("bigint").alias("idx"))
+
+    staged = rows.withColumns({"_rate": rate, "_drawn": F.transform(items, drawn)})
+    kept = F.transform(F.filter("_drawn", lambda d: d["u"] >= F.col("_rate") * 0.9), lambda d: F.struct(d["at"].alias("at"), d["item"].alias("item")))
+    changed = F.filter("_drawn", lambda d: (d["u"] < F.col("_rate") * 0.7) | ((d["u"] >= F.col("_rate") * 0.9) & (d["u"] < F.col("_rate"))))
+    wanted = F.transform(changed, lambda d: F.struct((d["at"] + F.when(d["u"] < F.col("_rate") * 0.7, 0).otherwise(1)).alias("at"), d["idx"].alias("idx")))
+    spare = F.struct(F.lit(0).alias("at"), (pick(draw(seed, key, F.lit("empty")), 1, F.lit(size)) - 1).cast("bigint").alias("idx"))
+    staged = staged.withColumns({"_kept": kept, "_wanted": wanted}).drop("_drawn", "_rate")
+    wanted = F.when((F.size("_kept") == 0) & (F.size("_wanted") == 0), F.array(spare)).otherwise(F.col("_wanted"))
+    staged = staged.withColumn("_wanted", wanted)
+    noise = staged.select(*row_id, F.explode("_wanted").alias("x")).select(*row_id, "x.*").join(vocab, "idx")
+    noise = noise.groupBy(*row_id).agg(F.collect_list(F.struct("at", make(F.col("word")).alias("item"))).alias("_noise"))
+    both = F.when(F.col("_noise").isNull(), F.col("_kept")).otherwise(F.concat("_kept", "_noise"))
+    joined = staged.join(noise, row_id, "left").withColumn(out, F.transform(F.array_sort(both), lambda x: x["item"]))
+    return joined.drop("_kept", "_wanted", "_noise")
+
+
+def corrupt_words(rows: DataFrame, ws: Column, key: str, vocab: DataFrame, rate: Column | float, seed=SEED, out: str = "noisy", row_id: list[str] | None = None) -> DataFrame:
+    """Add `out`: the words `ws` as a simulated recogniser gives them, with errors at `rate`, 70 %
+    substitutions, 20 % deletions, 10 % insertions.
+
+    Draws are keyed by `key`, so a key may have several rows, at several rates, told apart by `row_id`.
     """
-    return _noisy(words, key, F.lit(float(rate)), seed, lambda w: w, vocab)
+    rate = F.lit(float(rate)) if isinstance(rate, (int, float)) else rate
+    return _noisy(rows, row_id or [key], ws, F.col(key), rate, seed, vocab, lambda w: w, out)
 
 
-def corrupt_labelled(pairs: Column, key: Column, vocab: Column, seed: int | str = SEED, epoch: int = 0) -> Column:
+def corrupt_labelled(rows: DataFrame, pairs: Column, key: str, vocab: DataFrame, seed=SEED, epoch: int = 0, out: str = "noisy") -> DataFrame:
     """The same over (word, label) pairs: noise words get label 0, deleted words lose theirs.
 
     The error rate is drawn per example: none for 15 % of them, else uniform in
     [.10, .45). The epoch is part of the key, so every epoch draws fresh noise.
     """
-    keyed = F.concat_ws("#", key, F.lit(str(epoch)))
+    keyed = F.concat_ws("#", F.col(key), F.lit(str(epoch)))
     per_row = draw(seed, keyed, F.lit("rate"))
     rate = F.when(unit(per_row, 0) < 0.15, F.lit(0.0)).otherwise(F.lit(0.10) + unit(per_row, 1) * 0.35)
-    return _noisy(
-        pairs, keyed, rate, seed, lambda w: F.struct(w.alias("word"), F.lit(0).alias("label")), vocab
-    )
+    return _noisy(rows, [key], pairs, keyed, rate, seed, vocab, lambda w: F.struct(w.alias("word"), F.lit(0).alias("label")), out)
 
 
 def holdout_split(rows: DataFrame, key: str, frac: float, seed: int | str = SEED) -> DataFrame:
@@ -95,7 +91,7 @@ def holdout_split(rows: DataFrame, key: str, frac: float, seed: int | str = SEED
     return rows.withColumn("held", unit(draw(seed, F.col(key))) < F.lit(float(frac)))
 
 
-def hash_rank(rows: DataFrame, by: list[str], hexed: str, prefix: int = 2, rank: str = "rank") -> DataFrame:
+def hash_rank(rows: DataFrame, by: list[str], hexed: str, prefix: int = 4, rank: str = "rank") -> DataFrame:
     """Exact row numbers (from 0) of each group in the order of a hex-hash column.
 
     Leading digits of the hash cut a group into equal slices. Slices are numbered in

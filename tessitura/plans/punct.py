@@ -16,9 +16,12 @@ from tessitura.plans import scoring as PS
 from tessitura.plans import sql as Q
 from tessitura.plans import views as V
 
-RATES = (0.15, 0.32)
+# Error rates and thresholds of the published sweeps.
+RATES = (0.15, 0.25, 0.32, 0.42)
 SWEEP_RATES = (0.32, 0.38, 0.42)
-THRESHOLDS = [0.5, 0.7, 0.9]
+THRESHOLDS = [0.5, 0.7, 0.8, 0.85, 0.9, 0.92, 0.95]
+ADDITIVE_THRESHOLDS = [0.7, 0.8, 0.85, 0.9, 0.95]
+PROBE_THRESHOLD = 0.5
 
 
 def _bare(spark, sf_dir):
@@ -27,16 +30,13 @@ def _bare(spark, sf_dir):
 
 
 def _noisy(spark, sf_dir, rates) -> DataFrame:
-    """Each bare utterance corrupted at every rate: `utt_id, lang, ref, rate, hyp`.
-
-    One pass over the utterances; the rates are an exploded literal array.
-    """
-    rows, vocab = _bare(spark, sf_dir), V.vocabulary(spark, sf_dir)
-    ws = words(F.col("bare"))
-    variants = [
-        F.struct(F.lit(r).alias("rate"), join_words(corrupt_words(ws, F.col("utt_id"), vocab, r, f"1337/{r}")).alias("hyp")) for r in rates
-    ]
-    return rows.withColumn("_v", F.explode(F.array(*variants))).select("utt_id", "lang", "ref", "_v.rate", "_v.hyp")
+    """Each bare utterance corrupted at every rate: `utt_id, lang, ref, rate, hyp`."""
+    rates = F.explode(F.array(*[F.lit(float(r)) for r in rates]))
+    rows = _bare(spark, sf_dir).withColumn("rate", rates)
+    seed = F.concat(F.lit("1337/"), F.col("rate").cast("string"))
+    noisy = corrupt_words(
+        rows, words(F.col("bare")), "utt_id", V.vocabulary(spark, sf_dir), F.col("rate"), seed, out="hyp", row_id=["utt_id", "rate"])
+    return noisy.select("utt_id", "lang", "ref", "rate", join_words(F.col("hyp")).alias("hyp"))
 
 
 def _marks(spark, sf_dir):
@@ -64,7 +64,7 @@ def oracle_marks(spark, sf_dir):
 
 
 def token_prf(spark, sf_dir):
-    # Predictions are the lexicon's argmax over no mark, `.` and `,`.
+    # Predictions: a period from a probability of .2, else a comma from .1.
     labelled = U.labelled_words(V.utterances(spark, sf_dir).select("utt_id", "ref"), "ref", "utt_id").withColumn("word", F.lower("word"))
     p1, p2 = F.coalesce("p1", F.lit(0.0)), F.coalesce("p2", F.lit(0.0))
     pred = F.when((p1 >= 0.2) & (p1 >= p2), 1).when(p2 >= 0.1, 2).otherwise(0)
@@ -109,7 +109,7 @@ def _sweep(spark, sf_dir, additive: bool):
     text = shipped if additive else F.col("hyp")
     rows = noisy.withColumn("row_id", F.concat_ws("@", "utt_id", "rate")).select("row_id", "utt_id", "lang", "ref", "rate", words(text).alias("ws"))
     restore = U.add_marks_additive if additive else U.apply_marks
-    restored = restore(rows, "row_id", "ws", _marks(spark, sf_dir), THRESHOLDS)
+    restored = restore(rows, "row_id", "ws", _marks(spark, sf_dir), ADDITIVE_THRESHOLDS if additive else THRESHOLDS)
     scores = S.pooled_score(S.edit_counts(restored.withColumnRenamed("restored", "hyp").drop("row_id")), ["rate", "thr"])
     base = S.pooled_score(S.edit_counts(base_rows), ["rate"]).select("rate", F.round("multi", 9).alias("base"))
     best = U.best_threshold(
@@ -129,7 +129,7 @@ def additive_sweep(spark, sf_dir):
 def punct_restorer(spark, sf_dir):
     """Fit the MLlib restorer on the train split and count its marks on the validation split."""
     utts = V.utterances(spark, sf_dir).select("utt_id", "lang", "ref", V.original_split(F.col("utt_id")).alias("split"))
-    model = U.punct_restorer_fit(utts.where("split = 'train'"), "ref", "utt_id", features=1 << 16, max_iter=4)
+    model = U.punct_restorer_fit(utts.where("split = 'train'"), "ref", "utt_id")
     held = U.context_features(utts.where("split = 'validation'"), "ref", "utt_id").withColumn("label", F.col("label").cast("double"))
     return model.transform(held).groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
@@ -181,7 +181,7 @@ def _noisy_sql(rates, name="noisy") -> str:
 
 def _sweep_sql(additive: bool) -> str:
     text = "hyp || '.'" if additive else "hyp"
-    thrs = "thr(thr) AS (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in THRESHOLDS) + ")"
+    thrs = "thr(thr) AS (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in (ADDITIVE_THRESHOLDS if additive else THRESHOLDS)) + ")"
     return Q.query(
         Q.UTT, Q.VOCAB, PS.BARE, MARKS, _noisy_sql(SWEEP_RATES), thrs,
         f"grid AS (SELECT utt_id, lang, ref, rate, thr, {text} AS h0 FROM noisy, thr)",

@@ -98,7 +98,7 @@ def bootstrap_ci(spark, sf_dir):
 
 
 def bootstrap_poisson(spark, sf_dir):
-    return rounded(S.bootstrap_ci(counts(spark, sf_dir), "utt_id", 40, 1337, mode="poisson"), "lo", "hi")
+    return rounded(S.bootstrap_ci(counts(spark, sf_dir), "utt_id", 400, 1337, mode="poisson"), "lo", "hi")
 
 
 def plus_period_by_lang(spark, sf_dir):
@@ -115,7 +115,7 @@ def corrupt_words(spark, sf_dir):
 
 def corrupt_labelled(spark, sf_dir):
     rows = V.utterances(spark, sf_dir).select("utt_id", punct_labels(F.col("ref")).alias("p")).where(F.size("p") > 0)
-    noisy = rows.select("utt_id", A.corrupt_labelled(F.col("p"), F.col("utt_id"), V.vocabulary(spark, sf_dir), "lab", epoch=2).alias("p"))
+    noisy = A.corrupt_labelled(rows, F.col("p"), "utt_id", V.vocabulary(spark, sf_dir), "lab", epoch=2, out="p")
     return noisy.select(
         "utt_id", F.array_join("p.word", " ").alias("words"), F.array_join(F.col("p.label").cast("array<string>"), "").alias("labels")
     )
@@ -205,12 +205,16 @@ _MANY = "len(regexp_extract_all(text, '" + Q.NOT_SPACE + "'))"
 
 def _noisy_labelled() -> str:
     key = "(utt_id || '#2')"
-    u, v = Q.unit("hs[i]"), f"v[{Q.pick('hs[i]', 1, 'len(v)')}]"
-    return f"""rated AS MATERIALIZED (SELECT utt_id, v, p, list_transform(p, lambda s, i: {Q.draw('lab', key, '(i - 1)')}) AS hs,
-        CASE WHEN {Q.unit('rh')} < 0.15::DOUBLE THEN 0::DOUBLE ELSE 0.1::DOUBLE + {Q.unit('rh', 1)} * 0.35::DOUBLE END AS rate
-      FROM (SELECT *, {Q.draw('lab', key, "'rate'")} AS rh FROM lab WHERE len(p) > 0), vocab),
-    noisy AS (SELECT utt_id, v, flatten(list_transform(p, lambda s, i: CASE WHEN {u} < rate * 0.7::DOUBLE THEN [{{'word': {v}, 'label': 0}}]
-        WHEN {u} < rate * 0.9::DOUBLE THEN [] WHEN {u} < rate THEN [s, {{'word': {v}, 'label': 0}}] ELSE [s] END)) AS f FROM rated)"""
+    u = Q.unit("h")
+    return f"""rated AS MATERIALIZED (SELECT utt_id, p, CASE WHEN {Q.unit('rh')} < 0.15::DOUBLE THEN 0::DOUBLE ELSE 0.1::DOUBLE + {Q.unit('rh', 1)} * 0.35::DOUBLE END AS rate
+      FROM (SELECT *, {Q.draw('lab', key, "'rate'")} AS rh FROM lab WHERE len(p) > 0)),
+    sized AS MATERIALIZED (SELECT count(*) AS n FROM vocab),
+    placed AS MATERIALIZED (SELECT *, {Q.whole('h', 1)} % n AS k FROM (
+      SELECT *, {Q.draw('lab', key, 'i')} AS h FROM (SELECT utt_id, rate, unnest(p) AS s, unnest(range(len(p))) AS i FROM rated)), sized),
+    pieces AS (SELECT utt_id, i, CASE WHEN {u} < rate * 0.7::DOUBLE THEN word WHEN {u} < rate * 0.9::DOUBLE THEN NULL WHEN {u} < rate THEN s.word || ' ' || word ELSE s.word END AS w,
+        CASE WHEN {u} < rate * 0.7::DOUBLE THEN '0' WHEN {u} < rate * 0.9::DOUBLE THEN NULL WHEN {u} < rate THEN s.label || '0' ELSE s.label::VARCHAR END AS l
+      FROM placed JOIN vocab ON idx = k),
+    noisy AS (SELECT utt_id, string_agg(w, ' ' ORDER BY i) AS words, string_agg(l, '' ORDER BY i) AS labels FROM pieces GROUP BY utt_id)"""
 
 
 SQL = {
@@ -248,7 +252,7 @@ SQL = {
     "bootstrap_poisson": Q.query(
         Q.EDITS,
         f"""w AS (SELECT *, len(list_filter({_CDF}, lambda c: u >= c)) AS w FROM (
-              SELECT rep, ed.*, {Q.unit(Q.draw(1337, 'utt_id', 'rep'))} AS u FROM ed, range(1, 41) a(rep)))""",
+              SELECT rep, ed.*, {Q.unit(Q.draw(1337, 'utt_id', 'rep'))} AS u FROM ed, range(1, 401) a(rep)))""",
         "b AS (SELECT rep, sum(word_edits * w) AS we, sum(ref_words * w) AS rw, sum(char_edits * w) AS ce, sum(ref_chars * w) AS rc FROM w GROUP BY rep)",
         f"SELECT count(*) AS n_boot, round(quantile_cont({_BOOT}, 0.025), 6) AS lo, round(quantile_cont({_BOOT}, 0.975), 6) AS hi FROM b",
     ),
@@ -262,9 +266,8 @@ SQL = {
     "corrupt_words": Q.query(Q.HYPS, "SELECT utt_id, hyp FROM hyps"),
     "corrupt_labelled": Q.query(
         Q.UTT, Q.VOCAB, LABELLED, _noisy_labelled(),
-        f"""SELECT utt_id, CASE WHEN len(f) > 0 THEN array_to_string(list_transform(f, lambda s: s.word), ' ')
-              ELSE v[{Q.pick(Q.draw('lab', "(utt_id || '#2')", "'empty'"), 1, 'len(v)')}] END AS words,
-              CASE WHEN len(f) > 0 THEN array_to_string(list_transform(f, lambda s: s.label::VARCHAR), '') ELSE '0' END AS labels FROM noisy""",
+        f"""SELECT utt_id, coalesce(words, word) AS words, coalesce(labels, '0') AS labels FROM (
+              SELECT *, {Q.whole(Q.draw('lab', "(utt_id || '#2')", "'empty'"), 1)} % n AS k FROM noisy, sized) JOIN vocab ON idx = k""",
     ),
     "holdout_split": Q.query(Q.UTT, f"SELECT lang, {Q.unit(Q.draw(1337, 'utt_id'))} < 0.15::DOUBLE AS held, count(*) AS n FROM utt GROUP BY ALL"),
     "mixture_sample": Q.query(

@@ -74,25 +74,24 @@ utt AS MATERIALIZED (
   FROM sent WHERE length(sentence) > 1)"""
 )
 VOCAB = f"""vocab AS MATERIALIZED (
-  SELECT list(word ORDER BY word) AS v FROM (
-    SELECT word, count(*) AS n FROM (
-      SELECT unnest(string_split({strip_punct(norm('text'))}, ' ')) AS word FROM benchmark)
-    WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 16384))"""
-
-
-def hyps(name: str = "hyps", rate: float = 0.25, system: str = "s1", source: str = "utt", text: str = "ref", cols: str = "*") -> str:
-    seed = f"1337/{system}"
-    u = unit("hs[i]")
-    v = f"v[{pick('hs[i]', 1, 'len(v)')}]"
-    spare = pick(draw(seed, "utt_id", "'empty'"), 1, "len(v)")
-    return f"""{name} AS MATERIALIZED (
-  SELECT * EXCLUDE (words, hs, v, f), CASE WHEN len(f) > 0 THEN array_to_string(f, ' ') ELSE v[{spare}] END AS hyp FROM (
-    SELECT *, flatten(list_transform(words, lambda w, i:
-      CASE WHEN {u} < {rate!r}::DOUBLE * 0.7::DOUBLE THEN [{v}]
-           WHEN {u} < {rate!r}::DOUBLE * 0.9::DOUBLE THEN []::VARCHAR[]
-           WHEN {u} < {rate!r}::DOUBLE THEN [w, {v}] ELSE [w] END)) AS f
-    FROM (SELECT s.*, words, v, list_transform(words, lambda w, i: {draw(seed, 'utt_id', '(i - 1)')}) AS hs
-          FROM (SELECT {cols}, {ws(text)} AS words FROM {source}) s, vocab)))"""
+  SELECT word, row_number() OVER (ORDER BY md5(word)) - 1 AS idx FROM (
+    SELECT DISTINCT unnest(string_split({strip_punct('ref')}, ' ')) AS word FROM utt) WHERE word <> '')"""
+
+
+def hyps(name: str = "hyps", rate: float = 0.25, system: str = "s1", source: str = "utt", text: str = "ref") -> str:
+    seed, u, r = f"1337/{system}", unit("h"), f"{rate!r}::DOUBLE"
+    return f"""{name}_n AS MATERIALIZED (SELECT count(*) AS n FROM vocab),
+{name}_at AS MATERIALIZED (
+  SELECT utt_id, i, w, h, {whole('h', 1)} % n AS k FROM (
+    SELECT *, {draw(seed, 'utt_id', 'i')} AS h FROM (SELECT utt_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT utt_id, {ws(text)} AS ws FROM {source}))), {name}_n),
+{name}_said AS MATERIALIZED (
+  SELECT utt_id, string_agg(CASE WHEN {u} < {r} * 0.7::DOUBLE THEN word WHEN {u} < {r} * 0.9::DOUBLE THEN NULL
+    WHEN {u} < {r} THEN w || ' ' || word ELSE w END, ' ' ORDER BY i) AS said
+  FROM {name}_at JOIN vocab ON idx = k GROUP BY utt_id),
+{name}_spare AS MATERIALIZED (SELECT utt_id, {whole(draw(seed, 'utt_id', "'empty'"), 1)} % n AS k FROM {source}, {name}_n),
+{name} AS MATERIALIZED (
+  SELECT s.*, coalesce(said, word) AS hyp FROM {source} s LEFT JOIN {name}_said USING (utt_id)
+  JOIN {name}_spare e ON e.utt_id = s.utt_id JOIN vocab ON idx = k)"""
 
 
 def edits(name: str, pairs: str, cols: str, ref: str = "ref", hyp: str = "hyp") -> str:

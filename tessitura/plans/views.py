@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions.draws import draw, unit
-from tessitura.functions.text import normalise, strip_punct
+from tessitura.functions.text import strip_punct
 from tessitura.functions.words import join_words, words
 from tessitura.operators.corpus import to_sentences
 from tessitura.operators.sampling import corrupt_words, noise_vocabulary
@@ -51,24 +51,16 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vocabulary(spark: SparkSession, sf_dir: str) -> Column:
-    """The noise vocabulary, the words of the held-out evaluation text, as a literal array.
-
-    Its size is capped where it is built, so the driver holds 16,384 words at most.
-    """
-    held = table(spark, sf_dir, "benchmark").select(strip_punct(normalise(F.col("text"))).alias("bare"))
-    return word_literal(noise_vocabulary(held, "bare").first()["vocab"])
-
-
-def word_literal(vocab: list[str]) -> Column:
-    """An array literal of words: one string constant that the optimizer splits once."""
-    return F.split(F.lit(" ".join(vocab)), " ")
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The noise vocabulary: all bare words of the references, numbered."""
+    bare = utterances(spark, sf_dir).select(strip_punct(F.col("ref")).alias("bare"))
+    return noise_vocabulary(bare, "bare")
 
 
-def with_hyps(utts: DataFrame, vocab: Column, rate: float = RATE, system: str = "s1", text: str = "ref") -> DataFrame:
+def with_hyps(utts: DataFrame, vocab: DataFrame, rate: float = RATE, system: str = "s1", text: str = "ref") -> DataFrame:
     """Add `hyp`: the simulated output of one system."""
-    noisy = corrupt_words(words(F.col(text)), F.col("utt_id"), vocab, rate, f"1337/{system}")
-    return utts.withColumn("hyp", join_words(noisy))
+    noisy = corrupt_words(utts, words(F.col(text)), "utt_id", vocab, rate, f"1337/{system}", out="hyp")
+    return noisy.withColumn("hyp", join_words(F.col("hyp")))
 
 
 def hyps(spark: SparkSession, sf_dir: str, rate: float = RATE, system: str = "s1") -> DataFrame:

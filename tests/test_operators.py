@@ -166,10 +166,16 @@ def test_hash_rank_is_a_row_number(spark):
 
 def test_draws_do_not_depend_on_partitions(spark):
     rows = spark.range(60).select(F.col("id").cast("string").alias("k"), F.lit("a b c d").alias("t"))
-    noisy = lambda n: sorted(map(tuple, rows.repartition(n).select("k", A.corrupt_words(F.split("t", " "), F.col("k"), F.split(F.lit("x y"), " "), 0.6).alias("c")).select("k", F.concat_ws(" ", "c")).collect()))
-    assert noisy(1) == noisy(7)
-    clean = rows.select(A.corrupt_words(F.split("t", " "), F.col("k"), F.split(F.lit("x y"), " "), 0.0).alias("c")).distinct().collect()
-    assert [r["c"] for r in clean] == [["a", "b", "c", "d"]]
+    vocab = A.noise_vocabulary(spark.createDataFrame([("x y",), ("y z x",)], "t string"), "t")
+    assert sorted(r["word"] for r in vocab.collect()) == ["x", "y", "z"] and sorted(r["idx"] for r in vocab.collect()) == [0, 1, 2]
+
+    def noisy(parts, rate):
+        out = A.corrupt_words(rows.repartition(parts), F.split("t", " "), "k", vocab, rate)
+        return {r["k"]: r["noisy"] for r in out.collect()}
+
+    assert noisy(1, 0.6) == noisy(7, 0.6) and {*sum(noisy(3, 0.6).values(), [])} == set("abcdxyz")
+    assert set(map(tuple, noisy(2, 0.0).values())) == {("a", "b", "c", "d")}
+    assert all(len(ws) >= 1 for ws in noisy(2, 1.0).values())
 
 
 def test_mixture_repeats_short_strata(spark):
@@ -234,11 +240,28 @@ def test_naive_bayes_counts_unseen_words(spark):
 
 def test_hot_keys_join_like_any_other(spark):
     left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(90)], "i int, w string")
-    table = spark.createDataFrame([("hot", 1000, 7)] + [(f"k{i}", 1, i) for i in range(0, 60)], "w string, n int, v int")
-    got = {r["i"]: r["v"] for r in J.tiered_lookup(left, table, ["w"], "v", "n", "i", share=0.5).collect()}
+    table = spark.createDataFrame([("hot", 7)] + [(f"k{i}", i) for i in range(0, 60)], "w string, v int")
+    got = {r["i"]: r["v"] for r in J.tiered_lookup(left, table, ["w"], "v", "i", share=0.5).collect()}
     assert got == {i: 7 if i % 3 else (i if i < 60 else None) for i in range(90)}
 
 
+@pytest.mark.parametrize("known", [True, False])
+def test_a_key_of_nine_rows_in_ten_stays_where_it_is(spark, known):
+    # In the table or missing from it, the frequent key's rows spread over the join's partitions.
+    left = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, F.concat(F.lit("k"), "id")).otherwise("hot").alias("w"))
+    table = spark.createDataFrame([("hot", 7)] * known + [(f"k{i}", i) for i in range(0, 4000, 20)], "w string, v int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = J.tiered_lookup(left, table, ["w"], "v", "id")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        hot = {r["v"] for r in joined.where("w = 'hot'").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert hot == ({7} if known else {None}) and sum(sizes) == 4000 and max(sizes) < 2 * 4000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_routing_rules(spark):
     rows = [("u", "en", 1.0), ("u", "fr", 1.0), ("v", "en", 0.0), ("v", "fr", 2.0), ("v", "nl", 3.0)]
     scores = spark.createDataFrame(rows, "utt_id string, model_lang string, score double").withColumn("rule", F.lit("r"))
