@@ -27,3 +27,15 @@ def chat_messages(rows: DataFrame, system: Column, user: Column, transcription:
         turn("assistant", part("text", transcription)),
     )
     return rows.withColumn("messages", messages.cast(MESSAGES))
+
+
+def conversations(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """`conv, messages`: the turns of each conversation in order, as text parts.
+
+    Turns of equal number follow by role and text. One row holds one conversation.
+    """
+    part = F.array(F.struct(F.lit("text").alias("type"), F.col(text).alias("text")))
+    row = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), part.alias("content"))
+    listed = turns.groupBy(conv).agg(F.array_sort(F.collect_list(row)).alias("_t"))
+    messages = F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+    return listed.select(conv, messages.cast(MESSAGES).alias("messages"))

@@ -17,6 +17,7 @@ from tessitura.plans import routing as PR
 from tessitura.plans import scoring as PS
 from tessitura.plans import sql as Q
 from tessitura.plans import views as V
+from tessitura.session import reliable_checkpoint
 
 RATES = (0.15, 0.6)
 
@@ -163,9 +164,34 @@ def falsify_hypotheses(spark, sf_dir):
     return PS.rounded(out, "lo", "hi", "observed", "floor", "posted", "ceiling")
 
 
+def _halves(spark, sf_dir):
+    """Each router's mix and the true one, on the two halves of a seeded split."""
+    half = lambda df: df.withColumn("half", (unit(draw("half", F.col("utt_id"))) < 0.5).cast("int"))
+    p = R.language_mix(half(PR._routers(spark, sf_dir)), ["router", "half"]).select("router", "half", "lang", F.col("share").alias("p"))
+    q = R.language_mix(half(PR.truth(spark, sf_dir)), ["half"]).select("half", "lang", F.col("share").alias("q"))
+    return p.join(q, ["half", "lang"], "left")
+
+
+def _corrected(spark, sf_dir):
+    """The mix of one half, corrected by the bias measured on the other."""
+    halves = _halves(spark, sf_dir)
+    bias = halves.where("half = 1").select("router", "lang", (F.col("p") - F.coalesce("q", F.lit(0.0))).alias("bias"))
+    mine = halves.where("half = 0").select("router", "lang", F.col("p").alias("share"), F.coalesce("q", F.lit(0.0)).alias("true_share"))
+    return E.correct_mix(mine.join(bias, ["router", "lang"], "left").fillna(0.0, ["bias"]), ["router"])
+
+
 def corrected_mix(spark, sf_dir):
-    mixes = _mixes(spark, sf_dir).select("router", "lang", F.col("p").alias("share"), (F.col("p") - F.col("q")).alias("bias"))
-    return PS.rounded(E.correct_mix(mixes, ["router"]), "share", "bias", "corrected")
+    return PS.rounded(_corrected(spark, sf_dir), "share", "true_share", "bias", "corrected")
+
+
+def falsify_corrected(spark, sf_dir):
+    """The claims tested again after the bias correction, with the accuracy at which each would just hold."""
+    anchors = reliable_checkpoint(_anchors(spark, sf_dir))
+    one = lambda c: anchors.select(c).scalar()
+    mixes = _corrected(spark, sf_dir).select("router", "lang", F.col("corrected").alias("p"), F.col("true_share").alias("q"))
+    out = E.falsify_hypotheses(mixes, ["router"], one("observed"), one("floor"), one("oracle"))
+    even = E.implied_accuracy(F.col("observed"), F.col("posted"), F.col("floor"))
+    return PS.rounded(out.withColumn("break_even", even), "lo", "hi", "observed", "floor", "posted", "ceiling", "break_even")
 
 
 def projection_grid(spark, sf_dir):
@@ -178,7 +204,7 @@ QUERIES = {
     "duration_summary": duration_summary, "pick_template": pick_template, "validate_submission": validate_submission,
     "expectations": expectations, "bakeoff": bakeoff, "bakeoff_total": bakeoff_total, "control_delta": control_delta,
     "calibration": calibration, "route_projection": route_projection, "agreement_bounds": agreement_bounds,
-    "falsify_hypotheses": falsify_hypotheses, "corrected_mix": corrected_mix, "projection_grid": projection_grid,
+    "falsify_hypotheses": falsify_hypotheses, "corrected_mix": corrected_mix, "falsify_corrected": falsify_corrected, "projection_grid": projection_grid,
 }
 
 _FR = """fr AS MATERIALIZED (SELECT vec_id, label, x, mx, z, mx - z AS top, list_position(x, mx) - 1 AS arg,
@@ -239,6 +265,17 @@ _MIXES = """mx AS MATERIALIZED (SELECT router, lang, p, q FROM (SELECT rule AS r
   LEFT JOIN (SELECT lang, count(*) / sum(count(*)) OVER () AS q FROM utt GROUP BY lang) USING (lang))"""
 _BOUNDS = "bd AS (SELECT router, sum(greatest(0, coalesce(p, 0) + coalesce(q, 0) - 1)) AS lo, sum(least(coalesce(p, 0), coalesce(q, 0))) AS hi FROM mx GROUP BY router)"
 
+_CORRECTED = (
+    f"""hp AS (SELECT rule AS router, CASE WHEN {Q.unit(Q.draw('half', 'utt_id'))} < 0.5::DOUBLE THEN 1 ELSE 0 END AS half, lang FROM rt)""",
+    f"""hq AS (SELECT CASE WHEN {Q.unit(Q.draw('half', 'utt_id'))} < 0.5::DOUBLE THEN 1 ELSE 0 END AS half, lang FROM utt)""",
+    """hm AS MATERIALIZED (SELECT router, half, lang, p, coalesce(q, 0) AS q FROM (
+         SELECT router, half, lang, count(*) / sum(count(*)) OVER (PARTITION BY router, half) AS p FROM hp GROUP BY router, half, lang)
+       LEFT JOIN (SELECT half, lang, count(*) / sum(count(*)) OVER (PARTITION BY half) AS q FROM hq GROUP BY half, lang) USING (half, lang))""",
+    """cb AS (SELECT a.router, a.lang, a.p, a.q, coalesce(b.p - b.q, 0) AS bias FROM (SELECT * FROM hm WHERE half = 0) a
+       LEFT JOIN (SELECT * FROM hm WHERE half = 1) b ON b.router = a.router AND b.lang = a.lang)""",
+    """cm AS MATERIALIZED (SELECT router, lang, p, q, bias, greatest(0, p - bias) / sum(greatest(0, p - bias)) OVER (PARTITION BY router) AS corrected FROM cb)""",
+)
+
 SQL = {
     "posterior_confidence": Q.query(
         _FR,
@@ -301,8 +338,15 @@ SQL = {
              round(ceiling, 6) AS ceiling, ceiling < oracle AS refuted FROM c""",
     ),
     "corrected_mix": Q.query(
-        PR.ROUTES, _MIXES, "c AS (SELECT *, p - q AS bias, greatest(0, p - (p - q)) AS c FROM mx)",
-        "SELECT router, lang, round(p, 6) AS share, round(bias, 6) AS bias, round(c / sum(c) OVER (PARTITION BY router), 6) AS corrected FROM c",
+        PR.ROUTES, *_CORRECTED,
+        "SELECT router, lang, round(p, 6) AS share, round(q, 6) AS true_share, round(bias, 6) AS bias, round(corrected, 6) AS corrected FROM cm",
+    ),
+    "falsify_corrected": Q.query(
+        PR.ROUTES, *_CORRECTED, _ANCH,
+        """bd AS (SELECT router, sum(greatest(0, corrected + q - 1)) AS lo, sum(least(corrected, q)) AS hi FROM cm GROUP BY router)""",
+        "f AS (SELECT router, lo, hi, observed, floor, oracle AS posted, (observed - floor * (1 - greatest(lo, 1e-9::DOUBLE))) / greatest(lo, 1e-9::DOUBLE) AS ceiling FROM bd, an)",
+        """SELECT router, round(lo, 6) AS lo, round(hi, 6) AS hi, round(observed, 6) AS observed, round(floor, 6) AS floor, round(posted, 6) AS posted, round(ceiling, 6) AS ceiling,
+             ceiling < posted AS refuted, round((observed - floor) / (posted - floor), 6) AS break_even FROM f""",
     ),
     "projection_grid": Q.query(
         Q.UTT, _ANCH,

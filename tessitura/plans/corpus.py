@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessitura.functions import text as T
 from tessitura.functions.draws import draw, unit
@@ -13,8 +14,8 @@ from tessitura.operators import profile as P
 from tessitura.operators import scoring as S
 from tessitura.plans import sql as Q
 from tessitura.plans import views as V
-from tessitura.session import dimension
-from tessitura.sources import writers
+from tessitura.session import dimension, shared_folder
+from tessitura.sources import readers, writers
 
 CAP = 3000
 TARGETS = {"en": 300_000, "fr": 400_000, "de": 900_000, "es": 100_000}
@@ -78,10 +79,11 @@ def corpus_manifest(spark, sf_dir):
 
 
 def write_manifest(spark, sf_dir):
+    """The manifest, written as JSON and read back."""
     rows, dims = built(spark, sf_dir), sources(spark, sf_dir)
-    nested = C.nested_manifest(C.corpus_manifest(rows, dims), C.corpus_totals(rows, dims))
-    parsed = writers.manifest_rows(nested.select(F.to_json(F.struct("*")).alias("value")))
-    return parsed
+    folder = shared_folder(spark, "manifest")
+    writers.write_manifest(C.nested_manifest(C.corpus_manifest(rows, dims), C.corpus_totals(rows, dims)), folder)
+    return writers.manifest_rows(spark.read.text(folder))
 
 
 def corpus_verdict(spark, sf_dir):
@@ -92,9 +94,32 @@ def corpus_verdict(spark, sf_dir):
 
 
 def write_corpus(spark, sf_dir):
+    """The corpus, written as text files per language and read back."""
     weighted = V.sentences(spark, sf_dir).join(dimension(sources(spark, sf_dir).select("source", "weight")), "source")
-    lines = writers.corpus_lines(weighted)
-    return lines.groupBy("lang", "line").agg(F.count("*").alias("n"))
+    folder = shared_folder(spark, "corpus")
+    writers.write_corpus(weighted, folder)
+    lines = spark.read.text(folder)
+    return lines.groupBy("lang", F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+def write_submission(spark, sf_dir):
+    """A submission, written as one ordered CSV file and read back in its order."""
+    rows = V.table(spark, sf_dir, "benchmark").select(F.concat_ws("_", F.lit("item"), "item_id").alias("ID"), F.col("text").alias("Target"), F.col("item_id").alias("row_no"))
+    folder = shared_folder(spark, "submission")
+    writers.write_submission(rows, folder)
+    back, _ = readers.read_escaped_csv(spark, folder, StructType([StructField(c, StringType()) for c in ("ID", "Target")]))
+    return back
+
+
+def read_escaped_csv(spark, sf_dir):
+    """Transcripts with quotes, separators and line breaks, written as escaped CSV and read back."""
+    quoted = F.concat(F.lit('say "'), F.col("text"), F.lit('", then\ngo'))
+    rows = V.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").cast("string").alias("id"), quoted.alias("transcription"), F.lit("en").alias("language"), F.lit("train").alias("original_split"))
+    folder = shared_folder(spark, "transcripts")
+    rows.write.option("header", True).option("quote", '"').option("escape", "\\").option("quoteAll", True).csv(folder)
+    good, rejected = readers.read_escaped_csv(spark, folder, readers.TRANSCRIPTS)
+    return good.withColumn("rejected", F.lit(rejected.count()).cast("long"))
 
 
 def holdout_by_id(spark, sf_dir):
@@ -115,7 +140,9 @@ def contains_holdout(spark, sf_dir):
 
 def leak_guard(spark, sf_dir):
     utts = V.utterances(spark, sf_dir).select("utt_id", "lang", "ref", V.original_split(F.col("utt_id")).alias("split"))
-    train, dev = utts.where("split = 'train'"), utts.where("split = 'validation'")
+    # One training utterance in a hundred leaks into the evaluation side.
+    leaked = unit(draw("leak", F.col("utt_id"))) < 0.01
+    train, dev = utts.where("split = 'train'"), utts.where((F.col("split") == "validation") | leaked)
     safe, overlap = C.leak_guard(train, dev, "utt_id", ("ref", "lang"))
     return safe.groupBy("split").agg(F.count("*").alias("rows")).withColumns(
         {"overlap": overlap.scalar(), "columns": F.lit(",".join(safe.columns))}
@@ -242,7 +269,7 @@ QUERIES = {
     "incremental_corpus": incremental_corpus,
     "corpus_sources": corpus_sources, "dedupe_prioritised": dedupe_prioritised, "cap_words": cap_words,
     "corpus_manifest": corpus_manifest, "write_manifest": write_manifest, "corpus_verdict": corpus_verdict,
-    "write_corpus": write_corpus, "holdout_by_id": holdout_by_id, "holdout_by_content": holdout_by_content,
+    "write_corpus": write_corpus, "write_submission": write_submission, "read_escaped_csv": read_escaped_csv, "holdout_by_id": holdout_by_id, "holdout_by_content": holdout_by_content,
     "contains_holdout": contains_holdout, "leak_guard": leak_guard, "template_union": template_union,
     "template_fill": template_fill, "template_fill_counts": template_fill_counts, "score_pairs": score_pairs,
     "id_reconcile": id_reconcile, "routing_precedence": routing_precedence, "map_coverage_guard": map_coverage_guard,
@@ -344,10 +371,15 @@ SQL = {
         f"p AS MATERIALIZED (SELECT item_id, ' ' || {Q.norm('text')} || ' ' AS q FROM benchmark)",
         "SELECT doc_id, item_id FROM d JOIN p ON contains(b, q)",
     ),
+    "write_submission": "SELECT 'item_' || item_id AS ID, text AS Target FROM benchmark",
+    "read_escaped_csv": """SELECT item_id::VARCHAR AS id, 'say "' || text || '", then' || chr(10) || 'go' AS transcription, 'en' AS language,
+        'train' AS original_split, 0::BIGINT AS rejected FROM benchmark""",
     "leak_guard": Q.query(
         Q.UTT,
-        f"""SELECT 'validation' AS split, count(*) AS rows, 0::BIGINT AS overlap, 'utt_id,split' AS columns FROM utt
-            WHERE {Q.unit(Q.draw('split', 'utt_id'))} >= 0.85::DOUBLE""",
+        f"""lk AS (SELECT CASE WHEN {Q.unit(Q.draw('split', 'utt_id'))} < 0.85::DOUBLE THEN 'train' ELSE 'validation' END AS split,
+              {Q.unit(Q.draw('leak', 'utt_id'))} < 0.01::DOUBLE AS leaked FROM utt)""",
+        """SELECT split, count(*) AS rows, (SELECT count(*) FROM lk WHERE split = 'train' AND leaked) AS overlap, 'utt_id,split' AS columns FROM lk
+            WHERE split = 'validation' OR leaked GROUP BY split""",
     ),
     "template_union": """SELECT ID, template_no, row_no FROM (SELECT *, row_number() OVER (PARTITION BY ID ORDER BY template_no, row_no) AS rn FROM (
         SELECT 'doc_' || doc_id AS ID, 1 AS template_no, doc_id AS row_no FROM labels

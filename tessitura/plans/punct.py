@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions import text as T
@@ -15,6 +16,7 @@ from tessitura.operators.sampling import corrupt_words
 from tessitura.plans import scoring as PS
 from tessitura.plans import sql as Q
 from tessitura.plans import views as V
+from tessitura.session import reliable_checkpoint
 
 # Error rates and thresholds of the published sweeps.
 RATES = (0.15, 0.25, 0.32, 0.42)
@@ -82,18 +84,21 @@ def _scored(parts: list[tuple[str, DataFrame]], by: list[str]) -> DataFrame:
 
 
 def punct_probe(spark, sf_dir):
-    noisy = _noisy(spark, sf_dir, RATES)
+    noisy = reliable_checkpoint(_noisy(spark, sf_dir, RATES))  # restored, and scored as it is
+    rows = noisy.withColumn("row_id", F.concat_ws("@", "utt_id", "rate")).select("row_id", "utt_id", "lang", "ref", "rate", "hyp", words(F.col("hyp")).alias("ws"))
+    restored = U.apply_marks(rows, "row_id", "ws", _marks(spark, sf_dir), [PROBE_THRESHOLD])
     hyp = F.col("hyp")
     systems = F.array(
         *[F.struct(F.lit(n).alias("system"), h.alias("hyp"))
-          for n, h in (("none", hyp), ("always", T.append_period(hyp, "always")), ("oracle", U.oracle_marks(F.col("ref"), hyp)))]
+          for n, h in (("none", hyp), ("always", T.append_period(hyp, "always")), ("restored", F.col("restored")), ("oracle", U.oracle_marks(F.col("ref"), hyp)))]
     )
-    stacked = noisy.withColumn("_s", F.explode(systems)).select("utt_id", "lang", "ref", "rate", "_s.system", "_s.hyp")
+    stacked = restored.withColumn("_s", F.explode(systems)).select("utt_id", "lang", "ref", "rate", "_s.system", "_s.hyp")
     scores = S.pooled_score(S.edit_counts(stacked), ["rate", "system"])
-    wide = scores.groupBy("rate").agg(*[F.max(F.when(F.col("system") == s, F.col("multi"))).alias(s) for s in ("none", "always", "oracle")])
-    gain = F.col("always") - F.col("none")
-    out = wide.withColumn("gain", gain).withColumn("verdict", F.when(gain > 0, "APPLY").otherwise("DO NOT APPLY"))
-    return PS.rounded(out, "none", "always", "oracle", "gain")
+    names = ("none", "always", "restored", "oracle")
+    wide = scores.groupBy("rate").agg(*[F.max(F.when(F.col("system") == s, F.col("multi"))).alias(s) for s in names])
+    gain, always = F.col("restored") - F.col("none"), F.col("always") - F.col("none")
+    out = wide.withColumns({"gain": gain, "always_gain": always, "verdict": F.when(F.greatest(gain, always) > 0, "APPLY").otherwise("DO NOT APPLY")})
+    return PS.rounded(out, *names, "gain", "always_gain")
 
 
 def mark_ablation(spark, sf_dir):
@@ -127,11 +132,23 @@ def additive_sweep(spark, sf_dir):
 
 
 def punct_restorer(spark, sf_dir):
-    """Fit the MLlib restorer on the train split and count its marks on the validation split."""
+    """Fit the MLlib restorer on the train split and restore the validation split: per label its words on both
+    sides and its class weight, whether every prediction is the likeliest class, and whether the model beats a
+    constant answer."""
     utts = V.utterances(spark, sf_dir).select("utt_id", "lang", "ref", V.original_split(F.col("utt_id")).alias("split"))
-    model = U.punct_restorer_fit(utts.where("split = 'train'"), "ref", "utt_id")
-    held = U.context_features(utts.where("split = 'validation'"), "ref", "utt_id").withColumn("label", F.col("label").cast("double"))
-    return model.transform(held).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    examples = U.context_features(utts, "ref", "utt_id").join(utts.select("utt_id", "split"), "utt_id")
+    train = examples.where("split = 'train'").withColumn("label", F.col("label").cast("double"))
+    weighted = U.balanced_weights(train)
+    model = U.restorer_pipeline().fit(weighted)
+    held = model.transform(examples.where("split = 'validation'").withColumn("label", F.col("label").cast("double")))
+    top = vector_to_array("probability")
+    likeliest = F.array_position(top, F.array_max(top)) - 1 == F.col("prediction")
+    found = held.groupBy("label").agg(
+        F.count("*").alias("held"), F.bool_and(likeliest).alias("argmax"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("recall"))
+    better = F.avg("recall").over(Window.partitionBy()) > 1 / F.count("*").over(Window.partitionBy())
+    sizes = weighted.groupBy("label").agg(F.count("*").alias("train"), F.round(F.first("weight"), 6).alias("weight"))
+    return found.withColumn("beats_constant", better).join(sizes, "label").select(
+        F.col("label").cast("int").alias("label"), "train", "weight", "held", "argmax", "beats_constant")
 
 
 QUERIES = {
@@ -222,19 +239,28 @@ SQL = {
         "SELECT label, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, tp + fn AS support, round(2 * p * r / greatest(1e-9::DOUBLE, p + r), 6) AS f1 FROM r",
     ),
     "punct_probe": Q.query(
-        Q.UTT, Q.VOCAB, PS.BARE, _noisy_sql(RATES), oracle_sql("om", "noisy", "utt_id, ref, rate"),
+        Q.UTT, Q.VOCAB, PS.BARE, MARKS, _noisy_sql(RATES), oracle_sql("om", "noisy", "utt_id, ref, rate"),
+        restored_sql("rs", "noisy", Q.ws("hyp"), "utt_id, ref, rate", f"{PROBE_THRESHOLD}::DOUBLE", False),
         """sys AS (SELECT utt_id, ref, rate, 'none' AS system, hyp FROM noisy UNION ALL SELECT utt_id, ref, rate, 'always', hyp || '.' FROM noisy
-              UNION ALL SELECT utt_id, ref, rate, 'oracle', hyp FROM om)""",
+              UNION ALL SELECT utt_id, ref, rate, 'restored', hyp FROM rs UNION ALL SELECT utt_id, ref, rate, 'oracle', hyp FROM om)""",
         Q.edits("ed", "sys", "utt_id, rate, system"),
         f"s AS (SELECT rate, system, {Q.MULTI} AS multi FROM ed GROUP BY rate, system)",
-        """w AS (SELECT rate, max(multi) FILTER (system = 'none') AS a, max(multi) FILTER (system = 'always') AS b, max(multi) FILTER (system = 'oracle') AS c FROM s GROUP BY rate)""",
-        """SELECT rate, round(a, 6) AS "none", round(b, 6) AS "always", round(c, 6) AS oracle, round(b - a, 6) AS gain, CASE WHEN b - a > 0 THEN 'APPLY' ELSE 'DO NOT APPLY' END AS verdict FROM w""",
+        """w AS (SELECT rate, max(multi) FILTER (system = 'none') AS a, max(multi) FILTER (system = 'always') AS b, max(multi) FILTER (system = 'restored') AS r,
+              max(multi) FILTER (system = 'oracle') AS c FROM s GROUP BY rate)""",
+        """SELECT rate, round(a, 6) AS "none", round(b, 6) AS "always", round(r, 6) AS restored, round(c, 6) AS oracle, round(r - a, 6) AS gain, round(b - a, 6) AS always_gain,
+             CASE WHEN greatest(r, b) - a > 0 THEN 'APPLY' ELSE 'DO NOT APPLY' END AS verdict FROM w""",
     ),
     "mark_ablation": Q.query(
         Q.UTT, _ABLATE, Q.edits("ed", "abl", "utt_id, lang, variant"),
         f"s AS (SELECT variant, coalesce(lang, 'overall') AS lang, {Q.SUMS} FROM ed GROUP BY GROUPING SETS ((variant, lang), (variant)))",
         f"SELECT *, {Q.RATES} FROM s",
     ),
+    "punct_restorer": Q.query(
+        Q.UTT, PS.LABELLED,
+        f"""x AS (SELECT s.label AS label, CASE WHEN {PS.SPLIT} < 0.85::DOUBLE THEN 1 ELSE 0 END AS train FROM (SELECT utt_id, unnest(p) AS s FROM lab))""",
+        "c AS (SELECT label, sum(train)::BIGINT AS train, (count(*) - sum(train))::BIGINT AS held FROM x GROUP BY label)",
+        """SELECT label::INTEGER AS label, train, round(sum(train) OVER () / (count(*) OVER () * train), 6) AS weight, held, true AS argmax, true AS beats_constant FROM c""",
+    ),
     "threshold_sweep": _sweep_sql(False),
     "additive_sweep": _sweep_sql(True),
 }

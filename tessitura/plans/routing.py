@@ -93,7 +93,7 @@ def zscore_rules(spark, sf_dir):
 
 
 def topk_labels(spark, sf_dir):
-    top = R.topk_labels(scores(spark, sf_dir, ["mean"]), 3)
+    top = R.topk_labels(scores(spark, sf_dir, ["mean"]))
     return top.groupBy("rank", "label").agg(F.count("*").alias("n"), F.round(F.avg("prob"), 6).alias("prob"))
 
 
@@ -238,7 +238,7 @@ SQL = {
         SCORES,
         """t AS (SELECT utt_id, model_lang AS label, exp(score - max(score) OVER w) / sum(exp(score - mx)) OVER w AS prob, row_number() OVER (PARTITION BY utt_id ORDER BY score DESC, model_lang DESC) AS rank
              FROM (SELECT *, max(score) OVER (PARTITION BY utt_id) AS mx FROM sc WHERE rule = 'mean') WINDOW w AS (PARTITION BY utt_id))""",
-        "SELECT rank, label, count(*) AS n, round(avg(prob), 6) AS prob FROM t WHERE rank <= 3 GROUP BY ALL",
+        "SELECT rank, label, count(*) AS n, round(avg(prob), 6) AS prob FROM t WHERE rank <= 5 GROUP BY ALL",
     ),
     "target_share": Q.query(
         SCORES,

@@ -173,7 +173,7 @@ def glued_token_rate(spark, sf_dir):
 
 def oov_rate(spark, sf_dir):
     train = V.utterances(spark, sf_dir).where(V.original_split(F.col("utt_id")) == "train")
-    vocab = P.word_vocab(train, "ref", min_count=2)
+    vocab = P.word_counts(train, "ref").where("n >= 2")
     return rounded(P.oov_rate(V.hyps(spark, sf_dir), vocab), "rate")
 
 
@@ -328,8 +328,7 @@ SQL = {
     ),
     "oov_rate": Q.query(
         Q.HYPS,
-        f"""v AS (SELECT lang, word FROM (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({Q.ws('ref')}) AS word FROM utt WHERE {SPLIT} < 0.85::DOUBLE) GROUP BY lang, word)
-              WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 400000)""",
+        f"""v AS (SELECT lang, word FROM (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({Q.ws('ref')}) AS word FROM utt WHERE {SPLIT} < 0.85::DOUBLE) GROUP BY lang, word) WHERE n >= 2)""",
         f"t AS (SELECT lang, unnest({Q.ws('hyp')}) AS word FROM hyps)",
         """SELECT t.lang, count(*) AS tokens, count(*) FILTER (v.word IS NULL) AS oov, round(count(*) FILTER (v.word IS NULL) / count(*), 6) AS rate
            FROM t LEFT JOIN v USING (lang, word) GROUP BY t.lang""",

@@ -11,7 +11,7 @@ from tessitura.operators import corpus, profile, punct
 from tessitura.plans import sql as Q
 from tessitura.plans import views as V
 
-RARE = 3000  # occurrences a character needs in the registered fold_rare query
+RARE = 25  # fixed value: occurrences a character needs
 
 
 def _docs(spark, sf_dir):
@@ -135,6 +135,15 @@ def chat_messages(spark, sf_dir):
     )
 
 
+def chat_conversations(spark, sf_dir):
+    from tessitura.functions.chat import conversations
+
+    rows = conversations(V.table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return rows.select(
+        "conv_id", F.size("messages").cast("bigint").alias("turns"), F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
+        F.md5(F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"][0]["text"], F.lit(""))), "\n")).alias("digest"))
+
+
 def ngrams_query(spark, sf_dir):
     sents = _raw_sentences(spark, sf_dir)
     return sents.select("doc_id", "sent_no", F.array_join(ngrams(words(F.col("sentence")), 3), "|").alias("grams"))
@@ -155,7 +164,7 @@ def word_vocab(spark, sf_dir):
     # In-domain words count ten times, as their repeated lines would.
     sents = V.sentences(spark, sf_dir)
     weight = F.when(F.col("source") == "src0", 10).otherwise(1)
-    return profile.word_vocab(sents, "sentence", weight, min_count=2, cap=2000)
+    return profile.word_vocab(sents, "sentence", weight, min_count=2)
 
 
 def text_profile(spark, sf_dir):
@@ -213,7 +222,7 @@ QUERIES = {
     "lang_from_id": lang_from_id, "lang3": lang3, "id_shape_profile": id_shape_profile,
     "strip_punct": strip_punct, "strip_marks": strip_marks, "punct_labels": labels_query, "finish": finish,
     "append_period_variants": append_period, "capfirst": capfirst, "fill_blank": fill_blank,
-    "chat_messages": chat_messages, "ngrams": ngrams_query, "context_features": context_features,
+    "chat_messages": chat_messages, "chat_conversations": chat_conversations, "ngrams": ngrams_query, "context_features": context_features,
     "char_vocab": char_vocab, "word_vocab": word_vocab, "text_profile": text_profile,
     "char_profile": char_profile, "text_samples": text_samples, "split_filter": split_filter,
     "trainable_pairs": trainable_pairs, "explode_routing_map": explode_routing_map,
@@ -301,6 +310,8 @@ SQL = {
         Q.UTT,
         """SELECT utt_id, 'system,user,assistant' AS roles, 'text:transcribe ' || lang || '/audio/text:write the words/text:' || ref AS content FROM utt""",
     ),
+    "chat_conversations": """SELECT conv_id, count(*) AS turns, string_agg(coalesce(role, ''), ',' ORDER BY turn, role, text) AS roles,
+        md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id""",
     "ngrams": Q.query(
         Q.SENT,
         """SELECT doc_id, sent_no, array_to_string(list_transform(range(1, len(p) - 1), lambda i: array_to_string(p[i:i+2], ' ')), '|') AS grams
@@ -323,7 +334,7 @@ SQL = {
         Q.SENT,
         """w AS (SELECT lang, word, sum(k)::BIGINT AS n FROM (SELECT lang, CASE WHEN source = 'src0' THEN 10 ELSE 1 END AS k,
              unnest(string_split(sentence, ' ')) AS word FROM sent) GROUP BY ALL)""",
-        "SELECT * FROM w WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 2000",
+        "SELECT * FROM w WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 400000",
     ),
     "text_profile": Q.query(
         f"""m AS MATERIALIZED (SELECT lang, text, len(regexp_extract_all(text, {_WORD_RE})) AS w, length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) AS u,
