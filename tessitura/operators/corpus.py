@@ -275,13 +275,20 @@ def _winners(by_sentence: DataFrame, cuts: dict[int, dict[str, int]]) -> DataFra
     return by_sentence.select("lang", "sentence", F.array_min(kept).alias("e")).where(F.col("e").isNotNull())
 
 
-def corpus_manifest(corpus: DataFrame, sources: DataFrame, documents_total: DataFrame | None = None) -> DataFrame:
-    """Disclosure rows: per language and source sentences, words, repeats and licence."""
+def corpus_manifest(corpus: DataFrame, sources: DataFrame, langs: list[str]) -> DataFrame:
+    """Disclosure rows, one per language and configured source: sentences, words, repeats and licence.
+
+    Sources that kept nothing count 0. `capped` marks those that reached their cap, `skipped` those that
+    the configuration leaves out (`audio_heavy`).
+    """
     per = corpus.groupBy("lang", "source").agg(
         F.count("*").alias("sentences"), F.sum(n_words(F.col("sentence"))).alias("words")
     )
-    return per.join(sources.select("source", "licence", "weight"), "source").select(
-        "lang", "source", "sentences", "words", F.col("weight").alias("repeated"), "licence"
+    every = sources.withColumn("lang", F.explode(F.array(*[F.lit(lg) for lg in langs])))
+    joined = every.join(per, ["lang", "source"], "left").fillna(0, ["sentences", "words"])
+    return joined.select(
+        "lang", "source", "sentences", "words", F.col("weight").alias("repeated"), "licence",
+        F.coalesce(F.col("words") >= F.col("cap"), F.lit(False)).alias("capped"), F.col("audio_heavy").alias("skipped"),
     )
 
 
@@ -303,7 +310,7 @@ def corpus_totals(corpus: DataFrame, sources: DataFrame) -> DataFrame:
 def nested_manifest(manifest: DataFrame, totals: DataFrame) -> DataFrame:
     """One row per language with its sources as an array; an array holds one entry per source."""
     entries = manifest.groupBy("lang").agg(
-        F.sort_array(F.collect_list(F.struct("source", "sentences", "words", "repeated", "licence"))).alias("sources")
+        F.sort_array(F.collect_list(F.struct("source", "sentences", "words", "repeated", "licence", "capped", "skipped"))).alias("sources")
     )
     return totals.join(entries, "lang").select(
         "lang", F.concat("lang", F.lit(".txt")).alias("file"), "sentences", "words", "unique_words", "sources"

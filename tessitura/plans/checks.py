@@ -74,8 +74,9 @@ def _row_no():
 
 def validate_submission(spark, sf_dir):
     template = PS._validation(spark, sf_dir).select(F.col("utt_id").alias("ID"), _row_no().alias("row_no"))
-    refs = V.utterances(spark, sf_dir).select("ref")
-    out = C.validate_submission(_submission(spark, sf_dir), template, refs, columns=("ID", "Target"))
+    refs = reliable_checkpoint(V.utterances(spark, sf_dir).select("ref"))
+    submission = reliable_checkpoint(_submission(spark, sf_dir))  # both are read by several rules
+    out = C.validate_submission(submission, reliable_checkpoint(template), refs, columns=("ID", "Target"))
     return PS.rounded(out, "value")
 
 

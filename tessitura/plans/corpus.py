@@ -14,7 +14,7 @@ from tessitura.operators import profile as P
 from tessitura.operators import scoring as S
 from tessitura.plans import sql as Q
 from tessitura.plans import views as V
-from tessitura.session import dimension, shared_folder
+from tessitura.session import dimension, reliable_checkpoint, shared_folder
 from tessitura.sources import readers, writers
 
 CAP = 3000
@@ -75,14 +75,14 @@ def cap_words(spark, sf_dir):
 
 
 def corpus_manifest(spark, sf_dir):
-    return C.corpus_manifest(built(spark, sf_dir), sources(spark, sf_dir))
+    return C.corpus_manifest(built(spark, sf_dir), sources(spark, sf_dir), list(V.LANGS))
 
 
 def write_manifest(spark, sf_dir):
     """The manifest, written as JSON and read back."""
     rows, dims = built(spark, sf_dir), sources(spark, sf_dir)
     folder = shared_folder(spark, "manifest")
-    writers.write_manifest(C.nested_manifest(C.corpus_manifest(rows, dims), C.corpus_totals(rows, dims)), folder)
+    writers.write_manifest(C.nested_manifest(C.corpus_manifest(rows, dims, list(V.LANGS)), C.corpus_totals(rows, dims)), folder)
     return writers.manifest_rows(spark.read.text(folder))
 
 
@@ -219,7 +219,7 @@ def routing_precedence(spark, sf_dir):
 
 
 def map_coverage_guard(spark, sf_dir):
-    utts = V.utterances(spark, sf_dir)
+    utts = reliable_checkpoint(V.utterances(spark, sf_dir).select("utt_id", "lang", "source"))  # six maps are held against it
     out = None
     for name, routes in _routing_sources(utts):
         row = J.map_coverage_guard(utts, routes).select(F.lit(name).alias("map"), "ids", "matched", F.round("coverage", 9).alias("coverage"), "ok")
@@ -326,6 +326,10 @@ _MAPS = (
 _NAMES = ("column", "prefix", "measured", "stage", "external", "model")
 _LEFT = " ".join(f"LEFT JOIN m_{n} USING (utt_id)" for n in _NAMES)
 
+_PER = """per AS (SELECT l.lang, dim.source, coalesce(n, 0) AS sentences, coalesce(k, 0)::BIGINT AS words, weight::BIGINT AS repeated, licence,
+    coalesce(coalesce(k, 0) >= cap, false) AS capped, audio_heavy AS skipped FROM dim CROSS JOIN (VALUES ('en'), ('fr'), ('de'), ('es')) l(lang)
+  LEFT JOIN (SELECT lang, source, count(*) AS n, sum(w) AS k FROM built GROUP BY lang, source) b ON b.lang = l.lang AND b.source = dim.source)"""
+
 SQL = {
     "incremental_corpus": Q.query(
         Q.SENT, _EVAL, _DIM, _CAND.split("cand AS MATERIALIZED")[0].rstrip().rstrip(","),
@@ -345,11 +349,11 @@ SQL = {
         "SELECT sent.lang, source, doc_id, sent_no, sentence FROM sent JOIN r USING (lang, source, doc_id) JOIN dim USING (source) WHERE cap IS NULL OR before < cap",
     ),
     "corpus_manifest": Q.query(
-        *_BUILT, "SELECT lang, source, count(*) AS sentences, sum(w)::BIGINT AS words, weight::BIGINT AS repeated, licence FROM built JOIN dim USING (source) GROUP BY ALL"
+        *_BUILT, _PER, "SELECT * FROM per"
     ),
     "write_manifest": Q.query(
         *_BUILT,
-        "per AS (SELECT lang, source, count(*) AS sentences, sum(w)::BIGINT AS words, weight::BIGINT AS repeated, licence FROM built JOIN dim USING (source) GROUP BY ALL)",
+        _PER,
         "tot AS (SELECT lang, sum(weight)::BIGINT AS total_sentences, sum(w * weight)::BIGINT AS total_words FROM built JOIN dim USING (source) GROUP BY lang)",
         "uniq AS (SELECT lang, count(DISTINCT word) AS unique_words FROM (SELECT lang, unnest(string_split(sentence, ' ')) AS word FROM built) GROUP BY lang)",
         "SELECT *, lang || '.txt' AS file FROM per JOIN tot USING (lang) JOIN uniq USING (lang)",

@@ -61,7 +61,7 @@ def dimension(df: DataFrame) -> DataFrame:
 
     The planner then knows its size and broadcasts it, or not, by its own threshold.
     """
-    return df.sparkSession.createDataFrame(df.toPandas(), df.schema)
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
 def reliable_checkpoint(df, eager: bool = True):

@@ -24,7 +24,7 @@ def write_manifest(nested: DataFrame, path: str) -> None:
 
 MANIFEST = (
     "lang string, file string, sentences bigint, words bigint, unique_words bigint, "
-    "sources array<struct<source:string,sentences:bigint,words:bigint,repeated:bigint,licence:string>>"
+    "sources array<struct<source:string,sentences:bigint,words:bigint,repeated:bigint,licence:string,capped:boolean,skipped:boolean>>"
 )
 
 

@@ -18,6 +18,9 @@ DOCUMENTS = StructType(
 )
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
 def document_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None, name: str = "*.parquet") -> DataFrame:
     """Parquet documents below `path` as a file stream; the schema is declared, never inferred."""
     reader = spark.readStream.schema(DOCUMENTS).option("pathGlobFilter", name)
@@ -41,14 +44,16 @@ def incremental_corpus(stream: DataFrame, references: DataFrame, allowed: str, s
     checkpoint, so a run that dies resumes without loss or repetition. Sources carry
     no caps here: a cap needs an order that arrival does not give.
     """
-    spark = stream.sparkSession
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     rows = clean_sentences(stream, references, allowed).select("lang", "sentence")
     unique = rows.dropDuplicates(["lang", "sentence"])
-    return (
+    writer = (
         unique.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        .outputMode("append").trigger(availableNow=True)
     )
+    # The query takes its settings when it starts; the session keeps its own.
+    conf, before = stream.sparkSession.conf, stream.sparkSession.conf.get(PROVIDER, None)
+    conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return writer.start()
+    finally:
+        conf.unset(PROVIDER) if before is None else conf.set(PROVIDER, before)
