@@ -287,7 +287,7 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def repeated_spans(
     docs: DataFrame, length: int = 100, gram: int = 48, text: str = "text", doc_id: str = "doc_id",
-    chunk_bytes: int = 1 << 20, digest: bool = False,
+    chunk_bytes: int = 4 << 20, digest: bool = False,
 ) -> DataFrame:
     """doc_id, n_bytes, spans (bytes from 0, end exclusive) and kept (the other bytes) of every document.
 
@@ -300,7 +300,8 @@ def repeated_spans(
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, total // chunk_bytes)
-    work = _Dedup(chunks, length, gram)
+    # A range task holds the entries of about four chunks, so that a chunk's entries travel in few, large blocks.
+    work = _Dedup(max(1, chunks // 4), length, gram)
     chunked = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
     groups = lambda: chunked.groupBy("chunk")
     block = "route bigint, kind int, chunk bigint, data binary"
