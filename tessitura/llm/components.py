@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from tessitura.session import reliable_checkpoint
 
+#: Links a task holds, about; a link table is small beside the corpus and would else be spread over as many
+#: tasks, each with files of its own in every round.
+LINKS_PER_TASK = 200_000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     """Each node hands its larger (or its smaller) neighbours to the least node it knows."""
     if large:
         seen = edges.union(edges.select("parent", "child")).toDF("node", "other")
@@ -21,7 +25,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = joined.where(F.col("other") > F.col("node")).select(F.col("other").alias("child"), F.col("least").alias("parent"))
     else:
         moved = joined.select(F.col("other").alias("child"), F.col("least").alias("parent")).union(least.toDF("child", "parent"))
-    return moved.where("child != parent").distinct()
+    return moved.where("child != parent").coalesce(tasks).distinct().coalesce(tasks)
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a parent or the child of one parent."""
+    ends = edges.select(F.col("child").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("parent", F.lit(0), F.lit(1)))
+    roles = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return roles.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,12 +45,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent"))
     edges = reliable_checkpoint(edges.dropna().where("child != parent").distinct())
-    while True:
-        parents = edges.select(F.col("parent").alias("child")).distinct()
-        many = edges.groupBy("child").count().where("count > 1").select("child")
-        if edges.join(parents.union(many), "child", "left_semi").isEmpty():
-            break
-        edges = reliable_checkpoint(_star(_star(edges, large=True), large=False))
+    tasks = max(1, edges.count() // LINKS_PER_TASK)
+    edges = edges.coalesce(tasks)
+    while not _is_stars(edges):
+        edges = reliable_checkpoint(_star(_star(edges, True, tasks), False, tasks))
     return edges.select(F.col("child").alias("node"), F.col("parent").alias("root")).union(
         edges.select("parent", "parent").distinct()
     )

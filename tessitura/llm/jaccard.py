@@ -67,8 +67,8 @@ def _each(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Rec
 
 
 def _classes(percent: int) -> int:
-    """One hash class in this many holds a prefix and two thirds more."""
-    return max(1, 60 // max(1, 100 - percent))
+    """One hash class in this many holds a prefix and a twentieth of the set more."""
+    return max(1, 100 // (105 - percent))
 
 
 def _counted_shingles(size: int, percent: int):
