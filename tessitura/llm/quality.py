@@ -151,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     document gets the share of label 1 among them (or 0.5) as its score.
     """
     usable = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").where(~held_out("doc_id")).select("doc_id", F.col("label").cast("int"))
-    known = docs.where(~held_out("doc_id")).join(usable, "doc_id").select("label", "text")
+    # Both sides grow with the corpus, so they meet by a sort-merge join at every size.
+    known = docs.where(~held_out("doc_id")).join(usable.hint("merge"), "doc_id").select("label", "text")
     grouped = known.mapInArrow(_count, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counts = grouped.toPandas()  # 2^BITS rows at most
     pos, neg = (np.bincount(counts["bucket"], counts[c], minlength=1 << BITS) for c in ("pos", "neg"))
