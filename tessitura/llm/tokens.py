@@ -52,14 +52,15 @@ class Encoder:
 
     Byte-level pre-tokenisation always cuts before a lone space, so a text's ids are those of its
     pieces in a row. Pieces met before come from a bounded cache; new ones are encoded many at once,
-    and told apart by the space that opens each.
+    and told apart by the space that opens each. A text that holds an added token's content is encoded
+    in one piece: the token is taken out before the pre-tokeniser sees what lies around it.
     """
 
     def __init__(self, path: str, end_id: int, cached: int = 3 << 18) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         size = self.tokenizer.get_vocab_size()
         self.width = 2 if max(size, end_id + 1) <= 1 << 16 else 4
         self.opens = np.zeros(max(size, end_id + 1), bool)
@@ -68,15 +69,19 @@ class Encoder:
         self.end = np.array([end_id], "<u4").tobytes()
         self.cached, self.cache = cached, {}
 
+    def _adds(self, text: str) -> bool:
+        return any(token in text for token in self.added)
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 256):
             some = pieces[at : at + 256]
-            ids = np.array(self.tokenizer.encode("".join([" " + p for p in some]), add_special_tokens=False).ids, "<u4")
+            joined = "".join([" " + p for p in some])
+            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(some):
+            if len(cuts) == len(some) and not self._adds(joined):
                 raw = ids.tobytes()
                 ends = [*(cuts[1:] * 4).tolist(), len(raw)]
                 self.cache.update({p: raw[a:b] for p, a, b in zip(some, (cuts * 4).tolist(), ends)})
@@ -85,7 +90,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, the end id included."""
-        split = [None if UNEVEN.search(t) else t.split(" ") for t in texts]
+        split = [None if UNEVEN.search(t) or self._adds(t) else t.split(" ") for t in texts]
         if len(self.cache) > self.cached:
             self.cache.clear()
         met = set()

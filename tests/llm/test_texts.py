@@ -207,6 +207,21 @@ def test_token_shards_round_trip(spark, tmp_path):
     assert some[7][0].tolist() == [*plain.encode(texts[7], add_special_tokens=False).ids, END_ID]
 
 
+def test_added_tokens_are_encoded_as_such(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(byte_level_path())
+    end = "<|endoftext|>"
+    texts = [f"hello {end} world", f"a{end}b c", end, f"{end}{end} {end}", f"x {end}", f"{end}  x\n{end}", "<|endoftext| > <|end oftext|>", "hello world a"]
+    folder = str(tmp_path / "t")
+    write_tokens(docs(spark, texts), folder, byte_level_path(), END_ID)
+    got = read_tokens(spark, folder).orderBy("start").collect()
+    want = [[*plain.encode(t, add_special_tokens=False).ids, END_ID] for t in texts]
+    assert [r["ids"] for r in got] == want and want[0][:-1] == [31373, 220, 50256, 995]
+    assert [r["start"] for r in got] == [sum(map(len, want[:k])) for k in range(len(want))]
+    assert [r["n_tokens"] for r in got] == [len(w) for w in want]
+
+
 def test_no_documents_no_shards(spark, tmp_path):
     write_tokens(docs(spark, []), str(tmp_path / "t"), byte_level_path(), END_ID)
     assert read_tokens(spark, str(tmp_path / "t")).count() == 0
