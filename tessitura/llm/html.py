@@ -2,8 +2,9 @@
 
 Events are cut into lines, one per block of the page. Each line has a text-to-tag ratio; the ratios of the
 lines that no page furniture encloses are smoothed by a Gaussian and split at their standard deviation. The
-lines above it are content, and the smallest element that holds most of their text is the content region: all
-its lines are the page's text, short ones too, but for those inside furniture.
+lines above it are content. The smallest element that holds most of their text, or the outermost article or main
+element around it, is the content region: all its lines are the page's text, short ones too, but for those inside
+furniture. Beside the region, an element with content or headings is text as well unless most of it is links.
 """
 
 from __future__ import annotations
@@ -54,10 +55,11 @@ IN_PARAGRAPH = BLOCK - {"option", "title", "head", "html", "body"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "furniture", "credit")
+    __slots__ = ("tag", "parent", "depth", "furniture", "credit", "link")
 
     def __init__(self, tag: str, parent: Node | None, furniture: bool) -> None:
         self.tag, self.parent, self.credit = tag, parent, 0
+        self.link = tag == "a" or tag not in BLOCK and bool(parent and parent.link)
         self.depth = parent.depth + 1 if parent else 0
         self.furniture = furniture or bool(parent and parent.furniture)
 
@@ -74,21 +76,21 @@ def _marked(attributes: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, node) of every block of a page."""
+    """Collects (text, tags, node, characters in links) of every block of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.node = Node("", None, False)
-        self.lines: list[tuple[str, int, Node]] = []
+        self.lines: list[tuple[str, int, Node, int]] = []
         self.held: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def cut(self) -> None:
         text = " ".join("".join(self.held).split())
         if text:
-            self.lines.append((text, self.tags, self.node))
+            self.lines.append((text, self.tags, self.node, self.linked))
             self.tags = 0
-        self.held = []
+        self.held, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -130,6 +132,8 @@ class Lines(HTMLParser):
         # Text right inside a raw element is dropped with it, a block of its own or not.
         if not (self.node.furniture and self.node.tag not in BLOCK):
             self.held.append(data)
+            if self.node.link:
+                self.linked += len(" ".join(data.split()))
 
     def parse_comment(self, i: int, report: int = 1) -> int:
         """A comment that never ends takes the rest of the page."""
@@ -155,38 +159,75 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = [(text, tags, node) for text, tags, node in parser.lines if not node.furniture]
+    lines = [line for line in parser.lines if not line[2].furniture]
     if not lines:
         return ""
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _ in lines])
+    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])
     mean = sum(ratios) / len(ratios)
     threshold = min(math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
     total = 0
-    for (text, _, node), ratio in zip(lines, ratios):
+    for (text, _, node, _), ratio in zip(lines, ratios):
         if ratio >= threshold:
             total += len(text)
             while node:
                 node.credit += len(text)
                 node = node.parent
     best = None
-    for _, _, node in lines:
+    for _, _, node, _ in lines:
         while node:
             if node.credit >= MOST * total and (best is None or node.depth > best.depth) and node.tag not in LEAVES:
                 best = node
             node = node.parent
-    return "\n".join(text for text, _, node in lines if _inside(node, best))
+    node = region = best
+    while node:
+        if node.tag in ("article", "main"):
+            region = node
+        node = node.parent
+    around = set()
+    node = region
+    while node:
+        around.add(node)
+        node = node.parent
+    # Of the elements beside the region, and of the blocks right inside an element around it: characters, those
+    # in links, and whether there is content or a heading.
+    beside: dict[Node, list[int]] = {}
+    owners: list[Node | None] = []
+    for (text, _, node, linked), ratio in zip(lines, ratios):
+        owner = _beside(node, region, around)
+        owners.append(owner)
+        if owner and owner not in around:
+            sums = beside.setdefault(owner, [0, 0, 0])
+            for k, more in enumerate((len(text), linked, ratio >= threshold or _heading(node))):
+                sums[k] += more
+    out = []
+    for (text, _, _, linked), ratio, owner in zip(lines, ratios, owners):
+        if owner is None:
+            out.append(text)
+        else:
+            size, links, content = beside.get(owner, (len(text), linked, ratio >= threshold))
+            if content and 2 * links <= size:
+                out.append(text)
+    return "\n".join(out)
+
+
+def _heading(node: Node | None) -> bool:
+    while node and node.tag not in BLOCK:
+        node = node.parent
+    return bool(node) and node.tag in HEADINGS
 
 
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Not a region of their own: what holds them is.
 LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd pre caption figcaption legend summary td th tr tbody thead tfoot table ul ol dl a b i em strong span".split())
 
 
-def _inside(node: Node | None, region: Node | None) -> bool:
-    while node:
-        if node is region:
-            return True
-        node = node.parent
-    return False
+def _beside(node: Node, region: Node, around: set[Node]) -> Node | None:
+    """None for what is inside the region; else the outermost element with `node` that does not enclose the region, or
+    `node` itself where it does."""
+    below = node
+    while node not in around:
+        below, node = node, node.parent
+    return None if node is region else below
 
 
 def extract_text(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:

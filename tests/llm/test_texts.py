@@ -247,6 +247,31 @@ def test_main_text_without_an_article_element():
     assert main_text(f"<body><div class=menu>a b c</div><div id=content>{body}<p>ok</p></div>").count("\n") == 5
 
 
+def sentences(start, count):
+    return [f"Sentence number {k} of a text that is split over several elements." for k in range(start, start + count)]
+
+
+def paragraphs(texts, tag="p"):
+    return "".join(f"<{tag}>{t}</{tag}>" for t in texts)
+
+
+def test_main_text_keeps_all_sections():
+    first, second, links = sentences(0, 13), sentences(13, 7), "".join(f"<li><a href=/{k}>Page {k}</a></li>" for k in range(9))
+    page = f"<h1>Title</h1><section>{paragraphs(first)}</section><section>{paragraphs(second)}</section>"
+    want = ["Title", *first, *second]
+    assert main_text(f"<body><ul>{links}</ul><article>{page}</article><div>{links}</div></body>").split("\n") == want
+    assert main_text(f"<body><ul>{links}</ul><div>{page}</div><div>{links}</div></body>").split("\n") == want
+    assert main_text(f"<body><article>{page}</article><article>{paragraphs(first)}</article></body>").split("\n") == want + first
+
+
+def test_main_text_keeps_paragraphs_beside_a_long_one():
+    long, short = " ".join(sentences(0, 20)), sentences(20, 3)
+    for tag in ("div", "blockquote", "figure", "details"):
+        page = f"<h2>Title</h2><div>{short[0]}</div><{tag}>{long}</{tag}>{paragraphs(short[1:], 'div')}"
+        for outer in ("article", "main", "div"):
+            assert main_text(f"<body><nav>a b</nav><{outer}>{page}</{outer}></body>").split("\n") == ["Title", short[0], long, *short[1:]]
+
+
 def test_broken_pages():
     assert main_text("") == "" and main_text("<nav>only</nav>") == "" and main_text("just text") == "just text"
     assert main_text("<article><p>Cut off in the middle of a ta<a hre") == "Cut off in the middle of a ta"
