@@ -30,17 +30,24 @@ BLOCK = set(
     "template textarea tfoot th thead title tr ul".split()
 )
 FURNITURE = set(
-    "aside audio button canvas datalist dialog footer form head header iframe input label math menu nav noscript object option script search "
+    "aside audio button canvas datalist dialog footer form head header iframe input label menu nav noscript object option script search "
     "select style svg template textarea title video".split()
 )
-#: Words of a class, id or role that mark furniture.
-MARKS = set(
-    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments commentlist complementary "
-    "consent contentinfo cookie cookies copyright disclaimer disqus feedback footer form gdpr header login masthead menu menubar modal nav navbar "
-    "navigation newsletter notice notices notification pager pagination paywall popup promo promotion promoted related remark replies reply "
-    "respond search share sharing sidebar signup skip skyscraper social sponsor sponsored sponsors subscribe subscription tags toolbar topbar "
-    "toc widget widgets".split()
+#: Words of a class, id or role that mark what others wrote or sell, which an article element may hold as well.
+OTHERS = set(
+    "ad ads adv advert adverts advertisement advertising comment comments commentlist disqus promo promotion promoted replies reply respond "
+    "sponsor sponsored sponsors".split()
 )
+#: And those that mark other furniture.
+MARKS = OTHERS | set(
+    "banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies copyright footer form gdpr header login masthead menu menubar "
+    "modal nav navbar navigation newsletter notification pager pagination paywall popup search share sharing sidebar signup skip skyscraper social "
+    "subscribe subscription toolbar topbar widget widgets".split()
+)
+#: Marks that an article element inside does not lift.
+TEASERS = OTHERS | {"sidebar", "widget", "widgets"}
+#: Words before a mark in one name, which then tells of a part and not of the element: has-header, post-with-comments.
+PARTS = {"has", "with", "no", "without"}
 #: An end tag that a new start tag implies, within the nearest enclosing list, table or section.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -55,23 +62,68 @@ IN_PARAGRAPH = BLOCK - {"option", "title", "head", "html", "body"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "furniture", "credit", "link")
+    """`furniture` by its element or an enclosing one; `marks` are the words that mark it, `size` the characters inside."""
+
+    __slots__ = ("tag", "parent", "depth", "furniture", "marks", "raw", "credit", "size", "link")
 
-    def __init__(self, tag: str, parent: Node | None, furniture: bool) -> None:
-        self.tag, self.parent, self.credit = tag, parent, 0
+    def __init__(self, tag: str, parent: Node | None, furniture: bool, marks: set[str] = frozenset()) -> None:
+        self.tag, self.parent, self.marks, self.credit, self.size = tag, parent, marks, 0, 0
+        self.raw = tag not in BLOCK and (furniture or bool(marks) or bool(parent and (parent.raw or parent.furniture)))
         self.link = tag == "a" or tag not in BLOCK and bool(parent and parent.link)
         self.depth = parent.depth + 1 if parent else 0
         self.furniture = furniture or bool(parent and parent.furniture)
 
 
-def _marked(attributes: list[tuple[str, str | None]]) -> bool:
+def _marks(attributes: list[tuple[str, str | None]]) -> set[str]:
+    found: set[str] = set()
     for name, value in attributes:
         if value and name in ("class", "id", "role"):
-            words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())
-            if not MARKS.isdisjoint(words):
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true":
+            for one in value.split():
+                words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower())
+                if not MARKS.isdisjoint(words) and PARTS.isdisjoint(words):
+                    found |= MARKS.intersection(words)
+    return found
+
+
+def _hidden(attributes: list[tuple[str, str | None]]) -> bool:
+    return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attributes)
+
+
+def _left(lines: list[tuple[str, int, Node, int]]) -> list[tuple[str, int, Node, int]]:
+    """The lines outside furniture.
+
+    A mark holds for all inside it but for a main element and, unless it tells of others' text or teasers, an article
+    element without a mark of its own. It does not hold at all on an element with most of the page's text that others
+    did not write.
+    """
+    lines = [line for line in lines if not line[2].furniture]
+    total = 0
+    for text, _, node, _ in lines:
+        if not _others(node):
+            total += len(text)
+            while node:
+                node.size += len(text)
+                node = node.parent
+    return [line for line in lines if not _furnished(line[2], MOST * total)]
+
+
+def _others(node: Node | None) -> bool:
+    while node and node.tag != "main":
+        if node.tag not in ("article", "html", "body") and not OTHERS.isdisjoint(node.marks):
             return True
+        node = node.parent
+    return False
+
+
+def _furnished(node: Node | None, most: float) -> bool:
+    article = False
+    while node and node.tag != "main":
+        if node.tag == "article":
+            article = article or not node.marks
+        elif node.tag not in ("html", "body") and node.marks and not (node.size >= most > 0):
+            if not article or not TEASERS.isdisjoint(node.marks):
+                return True
+        node = node.parent
     return False
 
 
@@ -104,7 +156,8 @@ class Lines(HTMLParser):
             self._close({"p"}, BLOCK - {"p"})
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
-        self.node = Node(tag, self.node, tag in FURNITURE or tag not in ("html", "body", "main", "article") and _marked(attributes))
+        hidden = tag not in ("html", "body", "main", "article") and _hidden(attributes)
+        self.node = Node(tag, self.node, tag in FURNITURE or hidden, _marks(attributes))
 
     def handle_startendtag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attributes)
@@ -130,7 +183,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         # Text right inside a raw element is dropped with it, a block of its own or not.
-        if not (self.node.furniture and self.node.tag not in BLOCK):
+        if not self.node.raw:
             self.held.append(data)
             if self.node.link:
                 self.linked += len(" ".join(data.split()))
@@ -159,7 +212,7 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = [line for line in parser.lines if not line[2].furniture]
+    lines = _left(parser.lines)
     if not lines:
         return ""
     ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines])

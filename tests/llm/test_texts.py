@@ -272,6 +272,29 @@ def test_main_text_keeps_paragraphs_beside_a_long_one():
             assert main_text(f"<body><nav>a b</nav><{outer}>{page}</{outer}></body>").split("\n") == ["Title", short[0], long, *short[1:]]
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "with-sidebar", "has-header", "post-with-comments", "page header", "siteSearch"])
+def test_marked_wrappers_keep_the_article(name):
+    some = sentences(0, 5)
+    bar = "<div class=sidebar><p>Some further reading of a page beside the article.</p></div>"
+    for inner in (f"<article>{paragraphs(some)}</article>", f"<main>{paragraphs(some)}</main>", f"<div>{paragraphs(some)}</div>"):
+        for page in (f"<body><div class='{name}'>{inner}{bar}</div>", f"<body class='{name} comments-open'><div id='{name}'><b>{inner}</b></div>{bar}"):
+            assert main_text(page).split("\n") == some
+
+
+def test_marks_hold_for_what_others_wrote():
+    some, more = sentences(0, 4), sentences(50, 30)
+    for name in ("comments", "ad", "comment-list"):
+        for tag in ("div", "article"):
+            assert main_text(f"<article>{paragraphs(some)}</article><div class={name}><{tag}>{paragraphs(more)}</{tag}></div>").split("\n") == some
+    assert main_text(f"<article>{paragraphs(some)}</article><div class=sidebar><article>{paragraphs(more[:2])}</article></div>").split("\n") == some
+
+
+def test_what_the_article_holds_stays():
+    some = sentences(0, 4)
+    page = f"<article><h1>T</h1><p class=byline>By A. Writer</p><ul class=toc><li>One</ul>{paragraphs(some)}<p><math><mi>x</mi></math> is</p><p class=tags>a, b</p></article>"
+    assert main_text(page).split("\n") == ["T", "By A. Writer", "One", *some, "x is", "a, b"]
+
+
 def test_broken_pages():
     assert main_text("") == "" and main_text("<nav>only</nav>") == "" and main_text("just text") == "just text"
     assert main_text("<article><p>Cut off in the middle of a ta<a hre") == "Cut off in the middle of a ta"
