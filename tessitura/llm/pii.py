@@ -4,9 +4,10 @@ Everything stays in the row, in SQL functions: a pattern's matches and the piece
 high-recall generators propose spans with format and context features, and the fitted trees become one SQL
 expression over those features. Only the fit reads candidates across rows.
 
-The trees learn to tell candidates that the base patterns confirm from the others, on a bounded sample of
-candidates chosen by a hash. Each kind's threshold is the lowest score at which, over the candidates of the
-documents kept back from the sample, the wanted share is confirmed.
+The trees learn from a bounded sample of candidates, chosen by a hash, what the base patterns confirm or other
+evidence supports: with obfuscation undone a check holds (domain, octets, Luhn, count of digits), and the form or a
+word before it tells the kind. Each kind's threshold is the lowest score at which, over the candidates outside base
+spans of the documents kept back from the sample, the wanted share has such evidence.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ PHONE = r"\+[0-9][ ().0-9\-]+[0-9]"
 #: Generators of candidates: bounded repeats only.
 WIDE = {
     "email": r"(?i)(?<![a-z0-9._%+\-])[a-z0-9._%+\-]{1,64} {0,2}(?:@|＠|\(at\)|\[at\]|\{at\}) {0,2}[a-z0-9\-]{1,63}"
-    r"(?: {0,2}(?:\.|\(dot\)|\[dot\]|\{dot\}) {0,2}[a-z0-9\-]{2,63}){1,5}",
+    r"(?:(?:(?:\.| {0,2}(?:\(dot\)|\[dot\]|\{dot\}) {0,2})[a-z0-9\-]{2,63}){1,5}|(?: {1,2}\. {1,2}[a-z0-9\-]{2,63}){1,5})",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)|\(dot\)|\[dot\]) ?[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ ._/\-]{0,2}[0-9]){11,18}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+|00)?\(?[0-9](?:[ ().\-/]{0,3}[0-9]){6,14}(?![0-9A-Za-z])",
@@ -51,7 +52,16 @@ CUES = {
     "card": r"(?i)card|visa|credit|debit|account|pay",
     "phone": r"(?i)phone|tel|call|fax|mobile|cell|contact|whatsapp",
 }
-FEATURES = ("length", "digits", "letters", "dots", "spaces", "hyphens", "brackets", "slashes", "plus", "various", "cue", "joined", "followed", "quoted")
+#: What obfuscation writes for an at sign and a dot.
+AT = r"(?i) *(?:＠|\(at\)|\[at\]|\{at\}) *"
+POINT = r"(?i) *(?:\(dot\)|\[dot\]|\{dot\}|\[\.\]|\(\.\)) *"
+LABEL = r"[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?"
+MAILBOX = rf"(?i)^[a-z0-9_%+\-](?:[a-z0-9._%+\-]*[a-z0-9_%+\-])?@(?:{LABEL}\.)+(?:[a-z]{{2}}|com|org|net|edu|gov|mil|int|info|biz|name|app|dev|online|site|example|test)$"
+CARD_FORM = r"^[0-9]{4}(?:[ ._/\-]{1,2}[0-9]{4}){3}$|^3[0-9]{3}[ ._/\-]{1,2}[0-9]{6}[ ._/\-]{1,2}[0-9]{5}$"
+PHONE_FORM = r"^\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}$|^[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}$|^(?:\+|00)[1-9][ ().0-9\-]{8,}$"
+#: Dates and spans of years are no phone numbers.
+DATE = r"^(?:19|20)[0-9]{2}[ ./\-]+[0-9]{1,2}[ ./\-]+[0-9]{1,2}$|^[0-9]{1,2}[ ./\-]+[0-9]{1,2}[ ./\-]+(?:19|20)[0-9]{2}$|^(?:19|20)[0-9]{2}[ /\-]+(?:19|20)[0-9]{2}$"
+FEATURES = ("length", "digits", "letters", "dots", "spaces", "hyphens", "brackets", "slashes", "plus", "various", "cue", "joined", "followed", "quoted", "valid", "form")
 
 
 def _count(text: Column, characters: str) -> Column:
@@ -116,12 +126,14 @@ def candidate_spans(text: Column) -> Column:
             s, before, after = m["match"], m["before"], m["after"]
             digits = F.regexp_replace(s, "[^0-9]", "")
             flag = lambda c: c.cast("double")
+            valid, form = _evidence(s, digits, kind)
             values = {
                 "length": F.length(s), "digits": F.length(digits), "letters": _count(s, "[A-Za-z]"), "dots": _count(s, r"[.]"),
                 "spaces": _count(s, " "), "hyphens": _count(s, "-"), "brackets": _count(s, r"[()\[\]{}]"), "slashes": _count(s, "[/_]"),
                 "plus": flag(F.startswith(s, F.lit("+"))), "various": F.size(F.array_distinct(F.split(digits, ""))),
                 "cue": flag(before.rlike(CUES[KINDS[kind]])), "joined": flag(before.rlike(r"[A-Za-z0-9=#&/]$")),
                 "followed": flag(after.rlike(r"^[A-Za-z0-9=#%/]")), "quoted": flag(before.rlike("[\"'=:]\\s?$")),
+                "valid": flag(valid), "form": flag(form),
             }
             return F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"),
                             *(values[f].cast("double").alias(f) for f in FEATURES))
@@ -136,6 +148,22 @@ def candidate_spans(text: Column) -> Column:
     ))
 
 
+def _evidence(match: Column, digits: Column, kind: int) -> tuple[Column, Column]:
+    """Whether a candidate passes its kind's check with obfuscation undone, and whether its form alone tells the kind."""
+    if KINDS[kind] in ("email", "ip"):
+        undone = F.regexp_replace(F.regexp_replace(match, AT, "@"), POINT, ".")
+        pattern = MAILBOX if KINDS[kind] == "email" else rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
+        return F.replace(undone, F.lit(" "), F.lit("")).rlike(pattern), ~F.contains(undone, F.lit(" "))
+    if KINDS[kind] == "card":
+        return F.when(digits.rlike("^[2-6]") & F.length(digits).between(12, 19), luhn(digits)).otherwise(False), match.rlike(CARD_FORM)
+    return F.length(digits).between(7, 15) & ~match.rlike(DATE), match.rlike(PHONE_FORM)
+
+
+def supported(c: Column) -> Column:
+    """Whether evidence apart from the base patterns says that a candidate is personal data."""
+    return (c["valid"] > 0) & ((c["form"] > 0) | (c["cue"] > 0)) & (c["joined"] == 0) & (c["followed"] == 0)
+
+
 def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
@@ -187,12 +215,13 @@ def _parsed(debug: str) -> list[tuple[float, object]]:
 
 
 def train(found: DataFrame, sample: int = SAMPLE_CANDIDATES, precision: float = PRECISION) -> Redactor:
-    """Fits on rows of (id, base, candidates). With under 20 confirmed or unconfirmed candidates nothing is learned."""
+    """Fits on rows of (id, base, candidates). With under 20 candidates of either label nothing is learned."""
     one = F.explode("candidates")
     rows = found.where(F.size("candidates") > 0).select("id", "base", one.alias("c"))
     confirmed = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & overlap(b, F.col("c")))
+    outside = ~F.exists("base", lambda b: overlap(b, F.col("c")))
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("id"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    rows = rows.select("c.*", confirmed.cast("double").alias("label"), draw.alias("draw"))
+    rows = rows.select("c.*", (confirmed | supported(F.col("c"))).cast("double").alias("label"), outside.alias("outside"), draw.alias("draw"))
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if min(sizes.get(0.0, 0), sizes.get(1.0, 0)) < 20:
         return Redactor([], (2.0,) * len(KINDS))
@@ -201,7 +230,7 @@ def train(found: DataFrame, sample: int = SAMPLE_CANDIDATES, precision: float =
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, labelCol="label").fit(whole.transform(rows.where(F.col("draw") < share).limit(2 * sample)))
     redactor = Redactor(_parsed(model.toDebugString), ())
     columns = F.struct(F.col("kind"), *(F.col(f) for f in FEATURES))
-    back = rows.where(F.col("draw") >= share).select("kind", F.floor(redactor.score(columns) * 100).cast("int").alias("score"), "label")
+    back = rows.where((F.col("draw") >= share) & F.col("outside")).select("kind", F.floor(redactor.score(columns) * 100).cast("int").alias("score"), "label")
     table = back.groupBy("kind", "score").agg(F.sum("label").alias("right"), F.count("*").alias("n")).collect()  # 101 rows a kind at most
     thresholds = []
     for k in range(len(KINDS)):

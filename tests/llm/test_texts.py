@@ -370,6 +370,21 @@ def test_fit_on_candidates_leaves_clean_text_alone(spark):
     assert find_personal_data(docs(spark, [])).count() == 0
 
 
+def test_fit_adds_obfuscated_data(spark):
+    draw = random.Random(5)
+    texts, planted = [], []
+    for k in range(480):
+        number = lambda: f"{draw.randrange(100, 1000)}"
+        some = (f"jo{k} (at) ex{k % 7} (dot) org", f"({number()}) {number()}-{draw.randrange(1000, 10000)}",
+                "[.]".join(str(draw.randrange(1, 256)) for _ in range(4)), None)[k % 4]
+        plain = f"on 2023-01-{k % 28 + 10} a@b{k}.com and 10.0.{k % 256}.7 or room {draw.randrange(10**6)} at 300[.]{k}[.]1[.]1 then"
+        texts.append(f"{plain} words {some} . more" if some else f"{plain} +1 (0{k % 90 + 10}) 555-{1000 + k} more")
+        planted.append([(texts[k].index(some), (0, 3, 1)[k % 4], texts[k].index(some) + len(some))] if some else [])
+    got = {r["doc_id"]: r["personal"] for r in find_personal_data(docs(spark, texts)).collect()}
+    assert all([tuple(s) for s in g["base"]] == base(texts[i]) for i, g in got.items())
+    assert [[tuple(s) for s in got[i]["added"]] for i in range(len(texts))] == planted
+
+
 # Quality ------------------------------------------------------------------------------------------------------
 
 
