@@ -10,6 +10,7 @@ from tessitura.llm.decontaminate import contaminated, find_passages, hit_words
 from tessitura.llm.html import extract_text
 from tessitura.llm.jaccard import near_duplicates
 from tessitura.llm.mixing import mix
+from tessitura.llm.packing import pack
 from tessitura.llm.pii import KINDS, find_personal_data, written
 from tessitura.llm.quality import held_out, score_quality
 from tessitura.llm.suffix import repeated_spans
@@ -83,6 +84,10 @@ def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder, ids=False)
 
 
+def op11_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_quality_classifier": op2_quality_classifier,
@@ -94,6 +99,7 @@ QUERIES = {
     "op8_warc_capture_index": op8_warc_capture_index,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_binary_output": op10_token_binary_output,
+    "op11_sequence_packing": op11_sequence_packing,
     "pipeline": corpus_pipeline.run,
 }
 
