@@ -31,12 +31,14 @@ from tessitura.session import shared_folder
 END_ID = 2
 WINDOW = 4096
 SLACK = 64
-CACHE_BYTES = 96 << 20
-#: About what a cached piece costs beside its letters and ids.
-ENTRY_BYTES = 180
-#: How the vocabulary's own pattern cuts lower-case ASCII without white space.
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-CONTROL = re.compile(r"[\x00-\x1f]")
+CACHE_BYTES = 128 << 20
+#: About what a cached word costs beside its letters and ids.
+ENTRY_BYTES = 200
+#: How the vocabulary's own pattern cuts lower-case text below U+0100: contractions, letters, one digit, the rest.
+LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \t\n\r\x0b\x0c\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+BEYOND_LATIN = re.compile("[^\x00-\xff]")
+WHITE = re.compile("[ \t\n\r\x0b\x0c]+")
+PLAIN = re.compile("[!-~]+")
 RANK_BITS = 44
 
 
@@ -48,54 +50,51 @@ def word_level_path() -> str:
 
 
 class Encoder(dict):
-    """Little-endian ids of text under a vocabulary that drops white space, a piece between spaces at a time.
+    """Little-endian ids of text under a vocabulary that drops case and white space, a word at a time.
 
-    White space is no token and no word crosses it, so a text's ids are those of its pieces in a row.
-    The mapping itself is the cache of pieces; it is emptied when it holds `limit` bytes. An ASCII piece is cut
-    into words as the vocabulary's pattern cuts it, and the model encodes each; any other piece, and one that
-    holds an added token, goes through the whole tokenizer.
+    No token crosses a word, so a text's ids are those of its words in a row. Text below U+0100 is cut as the
+    vocabulary's pattern cuts it; other text is cut at white space, and so is text that holds an added token,
+    which is taken out before the pattern applies. The mapping itself is the cache of words; it is emptied when
+    it holds `limit` bytes.
     """
 
     def __init__(self, path: str, end_id: int, limit: int = CACHE_BYTES) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.kind = "<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.words, self.limit, self.used = {}, limit, 0
-
-    def _ids(self, piece: str) -> bytes:
-        if not piece.isascii() or CONTROL.search(piece) or any(token in piece for token in self.added):
-            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
-        out = []
-        for word in ASCII_WORDS.findall(piece.lower()):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(word)], self.kind).tobytes()
-                if len(word) < 256:
-                    self.words[word] = ids
-                    self.used += len(word) + len(ids) + ENTRY_BYTES
-            out.append(ids)
-        return b"".join(out)
-
-    def __missing__(self, piece: str) -> bytes:
+        self.limit, self.used = limit, 0
+
+    def __missing__(self, word: str) -> bytes:
         if self.used > self.limit:
             self.clear()
-            self.words.clear()
             self.used = 0
-        ids = self._ids(piece)
-        if len(piece) < 256:
-            self[piece] = ids
-            self.used += len(piece) + len(ids) + ENTRY_BYTES
+        if self._latin(word) and LATIN_WORDS.findall(word.lower()) == [word]:
+            letters = word if PLAIN.fullmatch(word) else self.bytes.pre_tokenize_str(word)[0][0]
+            found = [t.id for t in self.tokenizer.model.tokenize(letters)]
+        else:
+            found = self.tokenizer.encode(word, add_special_tokens=False).ids
+        ids = np.array(found, self.kind).tobytes()
+        if len(word) < 256:
+            self[word] = ids
+            self.used += len(word) + len(ids) + ENTRY_BYTES
         return ids
 
+    def _latin(self, text: str) -> bool:
+        return not BEYOND_LATIN.search(text) and not any(token in text for token in self.added)
+
     def encode(self, text: str) -> bytes:
         """The ids of a text, the end id included."""
-        for white in "\n\t\r\x0b\x0c":
-            if white in text:
-                text = text.replace(white, " ")
-        return b"".join(map(self.__getitem__, text.split(" "))) + self.end
+        if self._latin(text):
+            words = LATIN_WORDS.findall(text.lower())
+        else:
+            words = []
+            for piece in WHITE.split(text):
+                words += LATIN_WORDS.findall(piece.lower()) if self._latin(piece) else [piece]
+        return b"".join(map(self.__getitem__, words)) + self.end
 
 
 @lru_cache(1)
