@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from tessitura.llm.html import extract_text
 from tessitura.llm.jaccard import near_duplicates
 from tessitura.llm.mixing import mix
 from tessitura.llm.packing import pack
+from tessitura.llm.periods import periodic_runs
 from tessitura.llm.pii import KINDS, find_personal_data, written
 from tessitura.llm.quality import held_out, score_quality
 from tessitura.llm.suffix import repeated_spans
@@ -88,6 +91,30 @@ def op11_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's texts: one document in ten repeats a part of itself to its end."""
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n or doc_id is None:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), rewrite=looped)
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    higher = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.reduce("runs", none, lambda best, r: F.when(higher(best, r), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    chosen = found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.expr("(1000 * best.length) div best.period")
+    return chosen.select("doc_id", "n_runs", "best.*", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_quality_classifier": op2_quality_classifier,
@@ -100,10 +127,17 @@ QUERIES = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_binary_output": op10_token_binary_output,
     "op11_sequence_packing": op11_sequence_packing,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# crc32 of bytes: a table by its rule, then one look-up a byte.
+CRC = """t AS MATERIALIZED (
+  SELECT list(list_reduce(list_concat([k], range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY k) t
+  FROM (SELECT unnest(range(256)) k)
+)"""
+CRC32 = "xor(list_reduce(list_concat([4294967295], {}), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295)"
 
 SQL = {
     "op1_exact_top_k": """
@@ -211,6 +245,36 @@ WITH d AS (
 )
 SELECT doc_id, (length(h) // 2)::BIGINT n_bytes, n_removed, n_spans,
   sha256(unhex(kept || substr(h, 2 * z + 1))) kept_sha256 FROM t""",
+    "op13_periodic_runs": rf"""
+WITH {CRC}, o AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w,
+    {CRC32.format("[ord(c) FOR c IN string_split(doc_id::VARCHAR, '')]")} h FROM documents, t
+), a AS (SELECT *, len(w) n, h // 10 g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END a FROM o
+), b AS (SELECT *, 1 + (n - a) // (3 + g % 8) p FROM a
+), d AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE [w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1] FOR i IN range(n)] END w FROM b
+), k AS MATERIALIZED (
+  SELECT doc_id, n, unnest(range(n - 15)) i, unnest([array_to_string(w[i + 1:i + 16], ' ') FOR i IN range(n - 15)]) k FROM d WHERE n >= 24
+), e AS (
+  SELECT x.doc_id, y.i - x.i q, x.i FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.k = y.k AND x.i < y.i AND 3 * (y.i - x.i) <= x.n
+), s AS (
+  SELECT doc_id, q, min(i) AS start, max(i) - min(i) + 16 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) island FROM e) GROUP BY doc_id, q, island
+), r AS MATERIALIZED (
+  SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= 24 AND length >= 3 * q GROUP BY doc_id, start, length
+), f AS (
+  SELECT doc_id, count(*) n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) lines FROM r GROUP BY doc_id
+), m AS (
+  SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1
+), g AS (
+  SELECT doc_id, list(DISTINCT i) gone FROM (SELECT doc_id, unnest(range(start + period, start + length)) i FROM r) GROUP BY doc_id
+), c AS (
+  SELECT d.doc_id, string_agg(v, ' ' ORDER BY i) kept FROM (SELECT doc_id, unnest(w) v, unnest(range(n)) i FROM d) d
+  LEFT JOIN (SELECT doc_id, unnest(gone) i, true gone FROM g) x USING (doc_id, i) WHERE gone IS NULL GROUP BY d.doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT n_runs, m.start, m.length, m.period, (1000 * m.length) // m.period exponent_milli,
+  sha256(coalesce(lines, '')) runs_sha256, sha256(coalesce(kept, '')) collapsed_sha256
+FROM d LEFT JOIN f USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN c USING (doc_id)""",
 }
 
 if corpus_pipeline.ORACLE_SQL:
