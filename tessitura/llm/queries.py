@@ -19,6 +19,7 @@ from tessitura.llm.quality import held_out, score_quality
 from tessitura.llm.suffix import repeated_spans
 from tessitura.llm.tokens import END_ID, byte_level_path, read_tokens, write_tokens
 from tessitura.llm.topk import top_k
+from tessitura.llm.variants import count_words, spelling_variants
 from tessitura.llm.warc import read_archives, write_archives
 from tessitura.session import shared_folder
 
@@ -91,6 +92,11 @@ def op11_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = count_words(table(spark, sf_dir, "documents"), typo=97, least=5).where("n >= 3")
+    return spelling_variants(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The contract's texts: one document in ten repeats a part of itself to its end."""
     h = zlib.crc32(str(doc_id).encode())
@@ -127,6 +133,7 @@ QUERIES = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_binary_output": op10_token_binary_output,
     "op11_sequence_packing": op11_sequence_packing,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
@@ -245,6 +252,30 @@ WITH d AS (
 )
 SELECT doc_id, (length(h) // 2)::BIGINT n_bytes, n_removed, n_spans,
   sha256(unhex(kept || substr(h, 2 * z + 1))) kept_sha256 FROM t""",
+    "op12_spelling_variants": rf"""
+WITH RECURSIVE {CRC}, r AS (
+  SELECT doc_id, unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[A-Za-zÀ-ÿ]+')) r FROM documents
+), u AS (SELECT doc_id, r, count(*) n FROM r GROUP BY doc_id, r), h AS (
+  SELECT r, n, {CRC32.format("flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END FOR c IN string_split(doc_id || ':' || r, '')])")} h
+  FROM u, t
+), m AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, (h % length(r))::INTEGER) || substr(r, (h % length(r))::INTEGER + 2) ELSE r END AS word, n FROM h
+), w AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), k AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) rest FROM (SELECT word, unnest(range(1, length(word) + 1)) i FROM w)
+), p AS MATERIALIZED (
+  SELECT a.word, b.word other FROM k a JOIN k b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT word, rest FROM k WHERE rest IN (SELECT word FROM w) UNION SELECT rest, word FROM k WHERE rest IN (SELECT word FROM w)
+), b AS MATERIALIZED (
+  SELECT p.word, count(*) n_near, first(p.other ORDER BY v.n DESC, p.other) other, max(v.n) m FROM p JOIN w v ON v.word = p.other GROUP BY p.word
+), f AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT n_near, CASE WHEN m >= 2 * w.n THEN other END form, CASE WHEN m >= 2 * w.n THEN m END form_n
+  FROM w LEFT JOIN b USING (word)
+), c AS (
+  SELECT word, coalesce(form, word) AS root FROM f UNION SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c USING (word) JOIN f e ON e.word = c.root WHERE e.form IS NULL""",
     "op13_periodic_runs": rf"""
 WITH {CRC}, o AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w,
