@@ -1,21 +1,212 @@
-"""Edit distance that stays affordable on long unsegmented text.
+"""Exact edit distance whose cost follows the text, not its square.
 
-Spark's `levenshtein` compares every pair of positions, but with a threshold it visits a band around the
-diagonal only and answers -1 if the distance is larger. Most pairs differ in few places, however long they are,
-so bands of growing width are tried and the first answer is taken; it is the exact distance.
+Spark's `levenshtein` fills a matrix of all pairs of positions, which is fine for sentences of ordinary length and
+ruinous for unsegmented text. Longer pairs, and only those, reach Python, where a column of the matrix is a
+few machine words: vertical differences of +1 and -1 are bits of two integers, and one step moves a
+block of them by a column (Myers' bit vectors). Equal ends are stripped first; blocks then visit a band around the
+diagonal, and all columns only if the distance turns out wider than the band.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, LongType
+
+#: Code points of the longer side up to which the built-in distance is the faster one.
+SHORT = 512
+#: Rows of the matrix that one integer holds; more where there are few different values, each of which has one mask.
+BLOCK, WIDE_BLOCK, FEW = 1 << 13, 1 << 16, 1 << 10
+
+
+def _strip(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without their equal beginnings and ends."""
+    for _ in range(2):
+        n = min(len(a), len(b))
+        differ = np.flatnonzero(a[:n] != b[:n])
+        equal = int(differ[0]) if len(differ) else n
+        a, b = a[equal:][::-1], b[equal:][::-1]
+    return a, b
+
+
+def _masks(block: np.ndarray) -> dict[int, int]:
+    """For each value the bits of the places where a block has it."""
+    order = np.argsort(block, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
+    bits, out = np.zeros(len(block), bool), {}
+    for places in np.split(order, starts[1:]):
+        bits[places] = True
+        out[int(block[places[0]])] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        bits[places] = False
+    return out
+
+
+def _height(a: np.ndarray) -> int:
+    return WIDE_BLOCK if len(np.unique(a)) <= FEW else BLOCK
+
+
+def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """An upper bound on the distance, exact if it is at most `band`: cells further from the diagonal are passed by."""
+    columns, height = b.tolist(), _height(a)
+    # The last row of the blocks so far: from column `at` on.
+    row, at = list(range(min(len(b), band) + 1)), 0
+    for top in range(0, len(a), height):
+        block = a[top : top + height]
+        size, masks = len(block), _masks(block)
+        full, last = (1 << size) - 1, 1 << (size - 1)
+        first, end = max(0, top - band), min(len(b), top + size + band)
+        plus, minus = full, 0
+        value = row[first - at] + size
+        below = [value]
+        for c in range(first, end):
+            k = c - at
+            step = row[k + 1] - row[k] if k + 1 < len(row) else 1
+            same = masks.get(columns[c], 0)
+            x = same | minus
+            if step < 0:
+                same |= 1
+            y = (((same & plus) + plus) ^ plus) | same
+            up = minus | (full & ~(y | plus))
+            down = plus & y
+            if up & last:
+                value += 1
+            elif down & last:
+                value -= 1
+            below.append(value)
+            up, down = up << 1, down << 1
+            if step < 0:
+                down |= 1
+            elif step > 0:
+                up |= 1
+            plus = full & (down | ~(x | up))
+            minus = full & up & x
+        row, at = below, first
+    return row[-1]
+
+
+def distance(a: Sequence[int] | np.ndarray, b: Sequence[int] | np.ndarray) -> int:
+    """Least number of inserted, deleted and replaced values between two sequences of numbers."""
+    a, b = _strip(np.asarray(a, np.int64), np.asarray(b, np.int64))
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b):
+        return len(a)
+    if len(a) <= 2 * _height(a):  # a band would save nothing
+        return _banded(a, b, len(a))
+    band = len(a) - len(b) + max(64, len(a) // 8)
+    found = _banded(a, b, band)
+    return found if found <= band else _banded(a, b, len(a))
+
+
+def distances(a: np.ndarray, others: list[np.ndarray]) -> list[int]:
+    """`distance(a, b)` of one sequence and several that are alike.
+
+    In order, each shares a beginning with the one before; its columns are taken over, so only what follows the
+    first difference is aligned anew.
+    """
+    a = np.asarray(a, np.int64)
+    if len(a) > _height(a) or not len(a):
+        return [distance(a, b) for b in others]
+    masks, full, last = _masks(a), (1 << len(a)) - 1, 1 << (len(a) - 1)
+    sequences = [np.asarray(b, np.int64).tolist() for b in others]
+    order = sorted(range(len(others)), key=sequences.__getitem__)
+    shared = [_shared(sequences[x], sequences[y]) for x, y in zip(order, order[1:])]
+    out, saved = [0] * len(others), [(0, full, 0, len(a))]
+    for k, which in enumerate(order):
+        while k and saved[-1][0] > shared[k - 1]:
+            saved.pop()
+        # Where later ones part from this one: their columns are kept.
+        stops, least = set(), len(sequences[which])
+        for n in shared[k:]:
+            least = min(least, n)
+            stops.add(least)
+        at, plus, minus, value = saved[-1]
+        for c in range(at, len(sequences[which])):
+            if c in stops and c > saved[-1][0]:
+                saved.append((c, plus, minus, value))
+            same = masks.get(sequences[which][c], 0)
+            x = same | minus
+            y = (((same & plus) + plus) ^ plus) | same
+            up = minus | (full & ~(y | plus))
+            down = plus & y
+            if up & last:
+                value += 1
+            elif down & last:
+                value -= 1
+            up = up << 1 | 1
+            plus = full & (down << 1 | ~(x | up))
+            minus = full & up & x
+        end = len(sequences[which])
+        if end in stops and end > saved[-1][0]:
+            saved.append((end, plus, minus, value))
+        out[which] = value
+    return out
+
 
-from tessitura.functions.words import let
+def _shared(a: list[int], b: list[int]) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    return next((k for k in range(n) if a[k] != b[k]), n)
 
-BANDS = (16, 128, 1024)
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+
+
+def _word_numbers(texts: list[str]) -> list[np.ndarray]:
+    known: dict[str, int] = {}
+    return [np.array([known.setdefault(w, len(known)) for w in text.split(" ")] if text else [], np.int64) for text in texts]
+
+
+def _each_long(a: pa.Array, b: pa.Array, numbered) -> pa.Array:
+    out = []
+    for x, ys in zip(a.to_pylist(), b.to_pylist()):
+        if x is None or ys is None:
+            out.append(None)
+        else:
+            first, *others = numbered([x, *ys])
+            out.append(distances(first, others) if len(others) > 1 else [distance(first, y) for y in others])
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+@arrow_udf(ArrayType(LongType()))
+def _long_chars(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _each_long(a, b, lambda texts: [_code_points(t) for t in texts])
+
+
+@arrow_udf(ArrayType(LongType()))
+def _long_words(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _each_long(a, b, _word_numbers)
+
+
+def long_distances(a: Column, others: Column, of_words: bool) -> Column:
+    """Distances between a text and each of an array of texts if one of them is long, else NULL."""
+    long = F.greatest(F.length(a), F.array_max(F.transform(others, lambda t: F.length(t)))) > SHORT
+    return (_long_words if of_words else _long_chars)(F.when(long, a), F.when(long, others))
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Edits between two non-NULL strings in code points."""
-    near = [let(F.levenshtein(a, b, band), lambda d: F.when(d >= 0, d)) for band in BANDS]
-    return F.coalesce(*near, F.levenshtein(a, b)).cast("bigint")
+    """Edits between two non-NULL strings in code points, in the JVM: for pairs that are not long."""
+    return F.levenshtein(a, b).cast("bigint")
+
+
+def char_distance(a: Column, b: Column, long: Column | None = None) -> Column:
+    """Edits between two non-NULL strings in code points; `long` is the answer where it is known already."""
+    long = F.get(long_distances(a, F.array(b), False), F.lit(0)) if long is None else long
+    return F.when(long.isNotNull(), long).otherwise(edit_distance(a, b))
+
+
+def word_distance(a: Column, b: Column, coded: Column, long: Column | None = None) -> Column:
+    """Edits between the words of two single-spaced non-NULL strings.
+
+    `coded` spells a pair as strings `(r, h)` with a code point per word; it is not evaluated for long pairs.
+    """
+    long = F.get(long_distances(a, F.array(b), True), F.lit(0)) if long is None else long
+    # Named once, inside the array, as it is made anew wherever it is named.
+    short = F.element_at(F.transform(F.array(coded), lambda c: F.levenshtein(c["r"], c["h"])), 1)
+    return F.when(long.isNotNull(), long).otherwise(short).cast("bigint")

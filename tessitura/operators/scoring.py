@@ -11,50 +11,78 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.functions.distance import edit_distance
+from tessitura.functions.distance import char_distance, long_distances, word_distance
 from tessitura.functions.draws import draw, pick, unit
 from tessitura.functions.text import SPACE, WHITE, scorer_normalise
-from tessitura.functions.words import word_code_pair, words
+from tessitura.functions.words import let, n_words, word_code_pair, words
 
 EDITS = ["word_edits", "ref_words", "char_edits", "ref_chars"]
+
+
 def _side(text: Column, case_sensitive: bool) -> Column:
     return F.btrim(scorer_normalise(text, case_sensitive), F.lit(WHITE))
 
 
-def _metric_words(text: Column) -> Column:
-    """Words as the metric sees them: runs of white space collapse, edges go, split on the space."""
-    return words(F.regexp_replace(text, SPACE + "{2,}", " "))
+def _single_spaced(text: Column) -> Column:
+    """Text as the word metric sees it: runs of white space collapse, edges are gone, words lie between spaces."""
+    return F.regexp_replace(text, SPACE + "{2,}", " ")
 
 
 def edit_counts(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", case_sensitive: bool = False) -> DataFrame:
     """Add word and character edits and reference sizes to each (ref, hyp) pair.
 
     A missing hypothesis counts as empty; an empty reference is an error, since
-    the rates divide by its length. Narrow: no shuffle, and no Python but
-    for pairs too long for the built-in distance.
+    the rates divide by its length. Narrow: no shuffle; pairs too long for the
+    built-in distance, and no others, are aligned in Python.
     """
     kept = [c for c in pairs.columns if c not in (ref, hyp)]
-    sides = pairs.select(
-        *kept,
-        _side(F.col(ref), case_sensitive).alias("_r"),
-        _side(F.coalesce(F.col(hyp), F.lit("")), case_sensitive).alias("_h"),
-    )
-    checked = sides.withColumn(
-        "_r", F.when(F.col("_r") == "", F.raise_error(F.lit("empty reference"))).otherwise(F.col("_r"))
-    )
-    split = checked.select(*kept, "_r", "_h", _metric_words(F.col("_r")).alias("_rw"), _metric_words(F.col("_h")).alias("_hw"))
-    coded = split.select(
-        *kept, "_r", "_h", F.size("_rw").alias("_n"), word_code_pair(F.col("_rw"), F.col("_hw")).alias("_codes")
-    )
-    return coded.select(
+    sides = pairs.select(*kept, _reference(F.col(ref), case_sensitive).alias("_r"), _hypothesis(F.col(hyp), case_sensitive).alias("_h"))
+    return _counted(sides, kept)
+
+
+def _reference(text: Column, case_sensitive: bool) -> Column:
+    side = _side(text, case_sensitive)
+    return let(side, lambda r: F.when(r == "", F.raise_error(F.lit("empty reference"))).otherwise(r))
+
+
+def _hypothesis(text: Column, case_sensitive: bool) -> Column:
+    return _side(F.coalesce(text, F.lit("")), case_sensitive)
+
+
+def _counted(sides: DataFrame, kept: list[str], long_words: Column | None = None, long_chars: Column | None = None) -> DataFrame:
+    known = [c.alias(n) for c, n in ((long_words, "_lw"), (long_chars, "_lc")) if c is not None]
+    spaced = sides.select(*kept, "_r", "_h", *known, _single_spaced(F.col("_r")).alias("_rs"), _single_spaced(F.col("_h")).alias("_hs"))
+    rs, hs = F.col("_rs"), F.col("_hs")
+    long = (F.col("_lw"), F.col("_lc")) if known else (None, None)
+    return spaced.select(
         *kept,
-        edit_distance(F.col("_codes.r"), F.col("_codes.h")).alias("word_edits"),
-        F.col("_n").cast("bigint").alias("ref_words"),
-        edit_distance(F.col("_r"), F.col("_h")).alias("char_edits"),
+        word_distance(rs, hs, word_code_pair(words(rs), words(hs)), long[0]).alias("word_edits"),
+        n_words(rs).alias("ref_words"),
+        char_distance(F.col("_r"), F.col("_h"), long[1]).alias("char_edits"),
         F.length("_r").cast("bigint").alias("ref_chars"),
     )
 
 
+def edit_counts_of(rows: DataFrame, variants: dict[str, Column], ref: str = "ref", name: str = "variant", case_sensitive: bool = False) -> DataFrame:
+    """`edit_counts` of each row's reference and several hypotheses, one row per variant, named in column `name`.
+
+    A hypothesis that several variants share is aligned once. The variants of a long row are alike and are aligned together:
+    each takes over the columns of the one whose beginning it shares.
+    """
+    kept = [c for c in rows.columns if c != ref]
+    texts = F.array(*[F.struct(F.lit(n).alias("n"), _hypothesis(h, case_sensitive).alias("h")) for n, h in variants.items()])
+    staged = rows.select(*kept, _reference(F.col(ref), case_sensitive).alias("_r"), texts.alias("_v"))
+    staged = staged.withColumn("_t", F.array_distinct("_v.h"))
+    spaced = F.transform("_t", _single_spaced)
+    staged = staged.withColumns({
+        "_lw": long_distances(_single_spaced(F.col("_r")), spaced, True), "_lc": long_distances(F.col("_r"), F.col("_t"), False)})
+    each = staged.select("*", F.posexplode("_t").alias("_i", "_h"))
+    names = F.transform(F.filter("_v", lambda v: v["h"] == F.col("_h")), lambda v: v["n"])
+    sides = each.select(*kept, names.alias("_n"), "_r", "_h", F.get("_lw", F.col("_i")).alias("_w"), F.get("_lc", F.col("_i")).alias("_c"))
+    counted = _counted(sides, [*kept, "_n"], F.col("_w"), F.col("_c"))
+    return counted.select(*kept, F.explode("_n").alias(name), *EDITS)
+
+
 def pool(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Sum edit counts per group."""
     return counts.groupBy(*(by or [])).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in EDITS])

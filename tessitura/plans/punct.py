@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +14,7 @@ from tessitura.operators.sampling import corrupt_words
 from tessitura.plans import scoring as PS
 from tessitura.plans import sql as Q
 from tessitura.plans import views as V
-from tessitura.session import reliable_checkpoint
+from tessitura.session import dimension, reliable_checkpoint
 
 # Error rates and thresholds of the published sweeps.
 RATES = (0.15, 0.25, 0.32, 0.42)
@@ -78,51 +76,68 @@ def token_prf(spark, sf_dir):
     return PS.rounded(out, "precision", "recall", "f1").withColumn("label", F.col("label").cast("int"))
 
 
-def _scored(parts: list[tuple[str, DataFrame]], by: list[str]) -> DataFrame:
-    stacked = reduce(DataFrame.unionByName, [d.select("utt_id", "lang", "ref", "rate", "hyp").withColumn("system", F.lit(n)) for n, d in parts])
-    return S.pooled_score(S.edit_counts(stacked), by)
+def _restorable(noisy: DataFrame, text) -> DataFrame:
+    """The rows of `_noisy` under an id of their own, with their words."""
+    return noisy.select(F.concat_ws("@", "utt_id", "rate").alias("row_id"), "ref", "rate", "hyp", words(text).alias("ws"))
 
 
 def punct_probe(spark, sf_dir):
-    noisy = reliable_checkpoint(_noisy(spark, sf_dir, RATES))  # restored, and scored as it is
-    rows = noisy.withColumn("row_id", F.concat_ws("@", "utt_id", "rate")).select("row_id", "utt_id", "lang", "ref", "rate", "hyp", words(F.col("hyp")).alias("ws"))
-    restored = U.apply_marks(rows, "row_id", "ws", _marks(spark, sf_dir), [PROBE_THRESHOLD])
+    noisy = reliable_checkpoint(_noisy(spark, sf_dir, RATES))  # looked up, and scored as it is
     hyp = F.col("hyp")
-    systems = F.array(
-        *[F.struct(F.lit(n).alias("system"), h.alias("hyp"))
-          for n, h in (("none", hyp), ("always", T.append_period(hyp, "always")), ("restored", F.col("restored")), ("oracle", U.oracle_marks(F.col("ref"), hyp)))]
-    )
-    stacked = restored.withColumn("_s", F.explode(systems)).select("utt_id", "lang", "ref", "rate", "_s.system", "_s.hyp")
-    scores = S.pooled_score(S.edit_counts(stacked), ["rate", "system"])
-    names = ("none", "always", "restored", "oracle")
-    wide = scores.groupBy("rate").agg(*[F.max(F.when(F.col("system") == s, F.col("multi"))).alias(s) for s in names])
+    restored = U.restored_texts(_restorable(noisy, hyp), "row_id", "ws", _marks(spark, sf_dir), [PROBE_THRESHOLD])
+    systems = {"none": hyp, "always": T.append_period(hyp, "always"), "restored": F.get("restored", F.lit(0)), "oracle": U.oracle_marks(F.col("ref"), hyp)}
+    rows = restored.select("rate", "ref", *[h.alias(f"_{n}") for n, h in systems.items()])
+    counts = S.edit_counts_of(rows, {n: F.col(f"_{n}") for n in systems}, name="system")
+    scores = S.pooled_score(counts.select("rate", "system", *S.EDITS), ["rate", "system"])
+    wide = scores.groupBy("rate").agg(*[F.max(F.when(F.col("system") == s, F.col("multi"))).alias(s) for s in systems])
     gain, always = F.col("restored") - F.col("none"), F.col("always") - F.col("none")
     out = wide.withColumns({"gain": gain, "always_gain": always, "verdict": F.when(F.greatest(gain, always) > 0, "APPLY").otherwise("DO NOT APPLY")})
-    return PS.rounded(out, *names, "gain", "always_gain")
+    return PS.rounded(out, *systems, "gain", "always_gain")
 
 
 def mark_ablation(spark, sf_dir):
     # A reference of marks only leaves nothing to ablate to; it still counts, as an empty hypothesis.
-    rows = U.mark_ablation(V.utterances(spark, sf_dir).select("utt_id", "lang", "ref"))
-    return PS.rounded(S.score_by_language(S.edit_counts(rows), ["variant"]))
+    rows = V.utterances(spark, sf_dir).select("lang", "ref")
+    return PS.rounded(S.score_by_language(S.edit_counts_of(rows, U.ablations(F.col("ref"))), ["variant"]))
 
 
-def _sweep(spark, sf_dir, additive: bool):
-    noisy = _noisy(spark, sf_dir, SWEEP_RATES)
+def _grid(spark, sf_dir, additive: bool) -> DataFrame:
+    """Per rate and threshold the restored text's score beside what is shipped, `base`, and marks restored without
+    error, `oracle`; commas per utterance."""
+    thresholds = ADDITIVE_THRESHOLDS if additive else THRESHOLDS
+    noisy = reliable_checkpoint(_noisy(spark, sf_dir, SWEEP_RATES))
     shipped = T.append_period(F.col("hyp"), "always")
-    base_rows = noisy.withColumn("hyp", shipped)
-    text = shipped if additive else F.col("hyp")
-    rows = noisy.withColumn("row_id", F.concat_ws("@", "utt_id", "rate")).select("row_id", "utt_id", "lang", "ref", "rate", words(text).alias("ws"))
-    restore = U.add_marks_additive if additive else U.apply_marks
-    restored = restore(rows, "row_id", "ws", _marks(spark, sf_dir), ADDITIVE_THRESHOLDS if additive else THRESHOLDS)
-    scores = S.pooled_score(S.edit_counts(restored.withColumnRenamed("restored", "hyp").drop("row_id")), ["rate", "thr"])
-    base = S.pooled_score(S.edit_counts(base_rows), ["rate"]).select("rate", F.round("multi", 9).alias("base"))
-    best = U.best_threshold(
-        scores.select("rate", "thr", F.round("multi", 9).alias("multi")), ["rate"], base, min_wins=2 if additive else 1
-    )
+    rows = _restorable(noisy, shipped if additive else F.col("hyp"))
+    restored = U.restored_texts(rows, "row_id", "ws", _marks(spark, sf_dir), thresholds, additive)
+    commas = F.transform("restored", lambda t: (F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))).cast("bigint"))
+    staged = restored.select("rate", "ref", "restored", commas.alias("commas"), shipped.alias("_base"), U.oracle_marks(F.col("ref"), F.col("hyp")).alias("_oracle"))
+    variants = {str(k): F.get("restored", F.lit(k)) for k in range(len(thresholds))} | {"base": F.col("_base"), "oracle": F.col("_oracle")}
+    counts = S.edit_counts_of(staged, variants)
+    number = F.expr("try_cast(variant AS int)")
+    marked = counts.select("rate", number.alias("k"), "variant", F.get("commas", number).alias("c"), *S.EDITS)
+    sums = marked.groupBy("rate", "variant", "k").agg(F.count("*").alias("n"), F.sum("c").alias("c"), *[F.sum(e).alias(e) for e in S.EDITS])
+    # A row per rate and variant, all of them parameters.
+    scores = dimension(S.with_rates(sums).select("rate", "variant", "k", F.round("multi", 9).alias("multi"), (F.col("c") / F.col("n")).alias("commas_per_utt")))
+    of = lambda v: scores.where(F.col("variant") == v).select("rate", F.col("multi").alias(v))
+    thr = F.get(F.array(*[F.lit(t) for t in thresholds]), F.col("k"))
+    grid = scores.where("k IS NOT NULL").join(of("base"), "rate").join(of("oracle"), "rate")
+    return grid.select("rate", thr.alias("thr"), "multi", "base", "oracle", (F.col("multi") - F.col("base")).alias("delta"), "commas_per_utt")
+
+
+def _sweep(spark, sf_dir, additive: bool):
+    grid = _grid(spark, sf_dir, additive)
+    best = U.best_threshold(grid.select("rate", "thr", "multi"), ["rate"], grid.select("rate", "base").distinct(), min_wins=2 if additive else 1)
     return PS.rounded(best, "multi", "base", "delta")
 
 
+def threshold_grid(spark, sf_dir):
+    return PS.rounded(_grid(spark, sf_dir, additive=False), "multi", "base", "oracle", "delta", "commas_per_utt")
+
+
+def additive_grid(spark, sf_dir):
+    return PS.rounded(_grid(spark, sf_dir, additive=True), "multi", "base", "oracle", "delta", "commas_per_utt")
+
+
 def threshold_sweep(spark, sf_dir):
     return _sweep(spark, sf_dir, additive=False)
 
@@ -154,7 +169,7 @@ def punct_restorer(spark, sf_dir):
 QUERIES = {
     "mark_table": mark_table, "apply_marks": apply_marks, "add_marks_additive": add_marks_additive, "oracle_marks": oracle_marks,
     "token_prf": token_prf, "punct_probe": punct_probe, "mark_ablation": mark_ablation, "threshold_sweep": threshold_sweep,
-    "additive_sweep": additive_sweep, "punct_restorer": punct_restorer,
+    "additive_sweep": additive_sweep, "threshold_grid": threshold_grid, "additive_grid": additive_grid, "punct_restorer": punct_restorer,
 }
 
 _TRAIN_LAB = PS.LABELLED.replace("FROM utt)", f"FROM utt WHERE {PS.SPLIT} < 0.85::DOUBLE)")
@@ -196,7 +211,16 @@ def _noisy_sql(rates, name="noisy") -> str:
     return ",\n".join(parts) + f",\n{name} AS MATERIALIZED ({union})"
 
 
-def _sweep_sql(additive: bool) -> str:
+def _grid_sql(grid: bool) -> list[str]:
+    """The oracle's score per rate, and the commas per utterance."""
+    return [
+        oracle_sql("om", "noisy", "utt_id, ref, rate"), Q.edits("e3", "om", "utt_id, rate"),
+        f"o AS (SELECT rate, round({Q.MULTI}, 9) AS oracle FROM e3 GROUP BY rate)",
+        "c AS (SELECT rate, thr, avg(length(hyp) - length(replace(hyp, ',', ''))) AS c FROM rs GROUP BY rate, thr)",
+    ] if grid else []
+
+
+def _sweep_sql(additive: bool, grid: bool = False) -> str:
     text = "hyp || '.'" if additive else "hyp"
     thrs = "thr(thr) AS (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in (ADDITIVE_THRESHOLDS if additive else THRESHOLDS)) + ")"
     return Q.query(
@@ -207,7 +231,10 @@ def _sweep_sql(additive: bool) -> str:
         "dotted AS (SELECT utt_id, ref, rate, hyp || '.' AS hyp FROM noisy)", Q.edits("e2", "dotted", "utt_id, rate"),
         f"s AS (SELECT rate, thr, round({Q.MULTI}, 9) AS multi FROM e1 GROUP BY rate, thr)",
         f"b AS (SELECT rate, round({Q.MULTI}, 9) AS base FROM e2 GROUP BY rate)",
+        *_grid_sql(grid),
         "t AS (SELECT * FROM s JOIN b USING (rate) QUALIFY row_number() OVER (PARTITION BY rate ORDER BY multi DESC, thr) = 1)",
+        """SELECT rate, thr, round(multi, 6) AS multi, round(base, 6) AS base, round(oracle, 6) AS oracle, round(multi - base, 6) AS delta, round(c, 6) AS commas_per_utt
+              FROM s JOIN b USING (rate) JOIN o USING (rate) JOIN c USING (rate, thr)""" if grid else
         f"""SELECT rate, thr, round(multi, 6) AS multi, round(base, 6) AS base, round(multi - base, 6) AS delta,
               CASE WHEN (SELECT count(*) FROM t WHERE multi - base > 0) >= {2 if additive else 1} THEN 'APPLY' ELSE 'DO NOT APPLY' END AS verdict FROM t""",
     )
@@ -263,4 +290,6 @@ SQL = {
     ),
     "threshold_sweep": _sweep_sql(False),
     "additive_sweep": _sweep_sql(True),
+    "threshold_grid": _sweep_sql(False, grid=True),
+    "additive_grid": _sweep_sql(True, grid=True),
 }

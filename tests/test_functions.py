@@ -1,7 +1,11 @@
 import random
+import time
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tessitura.functions import distance
 from tessitura.functions import text as T
 from tessitura.functions.distance import edit_distance
 from tessitura.functions.words import ngrams, punct_labels, word_code_pair, words
@@ -107,3 +111,71 @@ def test_distances(values, spark):
     coded = rows.select(F.filter(F.split("a", " "), lambda w: w != "").alias("x"), F.filter(F.split("b", " "), lambda w: w != "").alias("y"))
     got = coded.select("x", "y", word_code_pair(F.col("x"), F.col("y")).alias("c")).select("x", "y", F.levenshtein("c.r", "c.h").alias("d")).collect()
     assert all(r["d"] == plain(r["x"], r["y"]) for r in got)
+
+
+def _plain(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        nxt = [i]
+        for j, y in enumerate(b, 1):
+            nxt.append(min(row[j] + 1, nxt[-1] + 1, row[j - 1] + (x != y)))
+        row = nxt
+    return row[-1]
+
+
+def _alike(rng):
+    size = rng.choice([2, 3, 20])
+    a = [rng.randrange(size) for _ in range(rng.randrange(50))]
+    b = [x for x in a if rng.random() > 0.2]
+    for _ in range(rng.randrange(6)):
+        b.insert(rng.randrange(len(b) + 1), rng.randrange(size))
+    return a, b if rng.random() > 0.2 else [rng.randrange(size) for _ in range(rng.randrange(50))]
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 64])
+def test_bit_vectors_in_blocks_and_bands(monkeypatch, block):
+    monkeypatch.setattr(distance, "BLOCK", block)
+    monkeypatch.setattr(distance, "WIDE_BLOCK", block)
+    rng = random.Random(block)
+    for _ in range(250):
+        a, b = _alike(rng)
+        want = _plain(a, b)
+        assert distance.distance(a, b) == want
+        if len(a) >= len(b) > 0:
+            band = len(a) - len(b) + 2
+            found = distance._banded(np.array(a), np.array(b), band)
+            assert found == want or found > want > band
+
+
+def test_alike_sequences_share_their_beginnings():
+    rng = random.Random(5)
+    for _ in range(400):
+        a, base = _alike(rng)
+        others = [base]
+        for _ in range(rng.randrange(6)):
+            b = list(base)
+            for _ in range(rng.randrange(4)):
+                b.insert(rng.randrange(len(b) + 1), rng.randrange(3))
+            others.append(b)
+        others.append([])
+        got = distance.distances(np.array(a, np.int64), [np.array(b, np.int64) for b in others])
+        assert got == [_plain(a, b) for b in others]
+
+
+def test_long_distances_stay_affordable():
+    rng = random.Random(1)
+    a = [rng.randrange(40) for _ in range(33_000)]
+    b = [x if rng.random() > 0.2 else rng.randrange(40) for x in a if rng.random() > 0.05]
+    start = time.process_time()
+    assert 0 < distance.distance(a, b) < 33_000
+    words = list(range(100_000))  # every one another
+    assert distance.distance(words, [w for w in words if w % 50]) == 2_000
+    assert time.process_time() - start < 20
+
+
+def test_long_pairs_of_text(spark):
+    a = "ab é " * 300
+    rows = spark.createDataFrame([(a, a.replace("é", "e")), (a, ""), ("x" * 600, "x" * 590), ("a b", "a c")], "a string, b string")
+    coded = word_code_pair(words(F.col("a")), words(F.col("b")))
+    got = rows.select("a", "b", distance.char_distance(F.col("a"), F.col("b")).alias("c"), distance.word_distance(F.col("a"), F.col("b"), coded).alias("w")).collect()
+    assert [r["c"] for r in got] == [300, 1500, 10, 1] and [r["w"] for r in got] == [300, 901, 1, 1]
