@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessitura.functions.distance import char_distance, long_distances, word_distance
 from tessitura.functions.draws import draw, pick, unit
 from tessitura.functions.text import SPACE, WHITE, scorer_normalise
-from tessitura.functions.words import let, n_words, word_code_pair, words
+from tessitura.functions.words import let, n_words
 
 EDITS = ["word_edits", "ref_words", "char_edits", "ref_chars"]
 
@@ -32,8 +32,8 @@ def edit_counts(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", case_sensi
     """Add word and character edits and reference sizes to each (ref, hyp) pair.
 
     A missing hypothesis counts as empty; an empty reference is an error, since
-    the rates divide by its length. Narrow: no shuffle; pairs too long for the
-    built-in distance, and no others, are aligned in Python.
+    the rates divide by its length. Narrow: no shuffle; a batch of pairs is aligned
+    at once.
     """
     kept = [c for c in pairs.columns if c not in (ref, hyp)]
     sides = pairs.select(*kept, _reference(F.col(ref), case_sensitive).alias("_r"), _hypothesis(F.col(hyp), case_sensitive).alias("_h"))
@@ -56,7 +56,7 @@ def _counted(sides: DataFrame, kept: list[str], long_words: Column | None = None
     long = (F.col("_lw"), F.col("_lc")) if known else (None, None)
     return spaced.select(
         *kept,
-        word_distance(rs, hs, word_code_pair(words(rs), words(hs)), long[0]).alias("word_edits"),
+        word_distance(rs, hs, long[0]).alias("word_edits"),
         n_words(rs).alias("ref_words"),
         char_distance(F.col("_r"), F.col("_h"), long[1]).alias("char_edits"),
         F.length("_r").cast("bigint").alias("ref_chars"),
