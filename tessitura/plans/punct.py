@@ -151,11 +151,10 @@ def punct_restorer(spark, sf_dir):
     sides and its class weight, whether every prediction is the likeliest class, and whether the model beats a
     constant answer."""
     utts = V.utterances(spark, sf_dir).select("utt_id", "lang", "ref", V.original_split(F.col("utt_id")).alias("split"))
-    examples = U.context_features(utts, "ref", "utt_id").join(utts.select("utt_id", "split"), "utt_id")
-    train = examples.where("split = 'train'").withColumn("label", F.col("label").cast("double"))
-    weighted = U.balanced_weights(train)
+    examples = U.restorer_examples(utts, "ref", "utt_id")
+    weighted = U.balanced_weights(examples.where("split = 'train'"))
     model = U.restorer_pipeline().fit(weighted)
-    held = model.transform(examples.where("split = 'validation'").withColumn("label", F.col("label").cast("double")))
+    held = model.transform(examples.where("split = 'validation'"))
     top = vector_to_array("probability")
     likeliest = F.array_position(top, F.array_max(top)) - 1 == F.col("prediction")
     found = held.groupBy("label").agg(
