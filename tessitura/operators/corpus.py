@@ -14,6 +14,8 @@ from tessitura.functions.words import n_words
 from tessitura.session import dimension, reliable_checkpoint
 
 BLOCKS = 4096
+#: Documents of a group that one task may order.
+CUT_ROWS = 200_000
 
 
 def corpus_sources(documents: DataFrame, sources: DataFrame, include_audio_heavy: bool = False) -> DataFrame:
@@ -151,34 +153,30 @@ def contains_holdout(documents: DataFrame, passages: DataFrame, anchor_words: in
     )
 
 
-def cut_points(doc_words: DataFrame, keys: list[str], cap: str = "cap") -> DataFrame:
+def cut_points(doc_words: DataFrame, keys: list[str], cap: str = "cap", rows: int = CUT_ROWS) -> DataFrame:
     """Per group the document at which its running word total first reaches the cap.
 
-    Input: `keys, doc_id, words, cap`, one row per document. Groups that never
-    reach it are absent. Two passes instead of one long running sum: totals of at
-    most 4,096 doc_id ranges locate the range with the crossing, and only that
-    range's documents are then ordered one by one.
+    Input: `keys, doc_id, words, cap`, one row per document; a few groups, such as languages and sources. Groups that
+    never reach the cap are absent. Instead of one long running sum, totals of at most 4,096 doc_id ranges locate
+    the range with the crossing. That range, from its first document to its last, is cut again until it holds at
+    most `rows` documents, which alone are ordered one by one; ids far from all others cost one more round.
     """
-    reach = doc_words.groupBy(*keys).agg(
-        F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"), F.sum("words").alias("_all"), F.max(cap).alias("_cap")
-    )
+    docs = reliable_checkpoint(doc_words.select(*keys, "doc_id", "words", F.col(cap).cast("double").alias("_cap")))
+    ends = [F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"), F.count("*").alias("_docs")]
+    reach = docs.groupBy(*keys).agg(*ends, F.sum("words").alias("_all"), F.max("_cap").alias("_cap"))
     # A group that cannot reach its cap never enters the ordering.
-    reach = reach.where(F.col("_all") >= F.col("_cap")).withColumn(
-        "_width", F.floor((F.col("_hi") - F.col("_lo")) / BLOCKS) + 1
-    )
-    placed = doc_words.join(reach.select(*keys, "_lo", "_width", "_cap"), keys).withColumn(
-        "_block", F.floor((F.col("doc_id") - F.col("_lo")) / F.col("_width"))
-    )
-    over_blocks = Window.partitionBy(*keys).orderBy("_block")
-    blocks = placed.groupBy(*keys, "_block").agg(F.sum("words").alias("_w"), F.max("_cap").alias("_cap"))
-    blocks = blocks.withColumn("_upto", F.sum("_w").over(over_blocks))
-    crossing = blocks.where((F.col("_upto") >= F.col("_cap")) & (F.col("_upto") - F.col("_w") < F.col("_cap"))).select(
-        *keys, "_block", (F.col("_upto") - F.col("_w")).alias("_before")
-    )
-    inside = placed.join(crossing, [*keys, "_block"])
+    found = dimension(reach.where(F.col("_all") >= F.col("_cap")).select(*keys, "_lo", "_hi", "_docs", "_cap", F.lit(0).cast("long").alias("_before")))
+    within = lambda: docs.drop("_cap").join(found, keys).where(F.col("doc_id").between(F.col("_lo"), F.col("_hi")))
+    while (found.agg(F.max("_docs")).first()[0] or 0) > rows:
+        width = F.floor((F.col("_hi") - F.col("_lo")) / BLOCKS) + 1
+        placed = within().withColumn("_block", F.floor((F.col("doc_id") - F.col("_lo")) / width))
+        blocks = placed.groupBy(*keys, "_block").agg(*ends, F.sum("words").alias("_w"), F.max("_cap").alias("_cap"), F.max("_before").alias("_from"))
+        upto = F.col("_from") + F.sum("_w").over(Window.partitionBy(*keys).orderBy("_block"))
+        crossing = blocks.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_cap")) & (F.col("_upto") - F.col("_w") < F.col("_cap")))
+        found = dimension(crossing.select(*keys, "_lo", "_hi", "_docs", "_cap", (F.col("_upto") - F.col("_w")).alias("_before")))
     running = F.col("_before") + F.sum("words").over(Window.partitionBy(*keys).orderBy("doc_id"))
     return (
-        inside.withColumn("_running", running)
+        within().withColumn("_running", running)
         .where(F.col("_running") >= F.col("_cap"))
         .groupBy(*keys)
         .agg(F.min("doc_id").alias("cut_doc"))
@@ -241,18 +239,19 @@ def dedupe_prioritised(sentences: DataFrame, sources: DataFrame) -> DataFrame:
         .distinct()
         .orderBy("priority")
     )
-    cuts: dict[int, dict[str, int]] = {}
+    stops: dict[str, dict[int, int]] = {}  # language -> priority -> the document that a source stops after
     for priority, cap in gross.toLocalIterator():  # one row per configured source at most
-        winners = _winners(by_sentence, cuts).where(F.col("e.priority") == priority)
+        winners = _winners(by_sentence, stops).where(F.col("e.priority") == priority)
         per_doc = (
             winners.groupBy("lang", F.col("e.doc_id").alias("doc_id"))
             .agg(F.sum(n_words(F.col("sentence"))).alias("words"))
             .withColumn("cap", F.lit(cap))
         )
-        cuts[priority] = {r["lang"]: r["cut_doc"] for r in cut_points(per_doc, ["lang"]).collect()}
+        for lang, stop in cut_points(per_doc, ["lang"]).collect():
+            stops.setdefault(lang, {})[priority] = stop
     names = dimension(sources.select("source", "priority"))
     external = (
-        _winners(by_sentence, cuts)
+        _winners(by_sentence, stops)
         .where(F.col("e.priority") > 0)
         .select("lang", F.col("e.priority").alias("priority"), F.col("e.doc_id").alias("doc_id"), F.col("e.sent_no").alias("sent_no"), "sentence")
         .join(names, "priority")
@@ -261,18 +260,14 @@ def dedupe_prioritised(sentences: DataFrame, sources: DataFrame) -> DataFrame:
     return indomain.select(*columns).unionByName(external.select(*columns))
 
 
-def _winners(by_sentence: DataFrame, cuts: dict[int, dict[str, int]]) -> DataFrame:
+def _winners(by_sentence: DataFrame, stops: dict[str, dict[int, int]]) -> DataFrame:
     """Each sentence's first entry that lies before its source's stop."""
-
-    def live(entry: Column) -> Column:
-        ok = F.lit(True)
-        for priority, stops in cuts.items():
-            for lang, stop in stops.items():
-                ok = ok & ~((entry["priority"] == priority) & (F.col("lang") == lang) & (entry["doc_id"] > stop))
-        return ok
-
-    kept = F.filter("entries", live) if any(cuts.values()) else F.col("entries")
-    return by_sentence.select("lang", "sentence", F.array_min(kept).alias("e")).where(F.col("e").isNotNull())
+    if stops:
+        table = by_sentence.sparkSession.createDataFrame(list(stops.items()), "lang string, _stops map<int, bigint>")
+        behind = lambda e: e["doc_id"] > F.try_element_at("_stops", e["priority"])
+        live = F.filter("entries", lambda e: ~F.coalesce(behind(e), F.lit(False)))
+        by_sentence = by_sentence.join(table, "lang", "left").withColumn("entries", F.when(F.col("_stops").isNull(), F.col("entries")).otherwise(live))
+    return by_sentence.select("lang", "sentence", F.array_min("entries").alias("e")).where(F.col("e").isNotNull())
 
 
 def corpus_manifest(corpus: DataFrame, sources: DataFrame, langs: list[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -359,3 +360,17 @@ def test_manifest_roundtrip(spark):
     assert [r["id"] for r in explode_manifest(rows).orderBy("id").collect()] == ["a", "b"]
     maps = spark.createDataFrame([('{"u": "en", "v": "fr"}',)], "value string")
     assert sorted(map(tuple, explode_map(maps, "value", "utt_id", "lang").collect())) == [("u", "en"), ("v", "fr")]
+
+
+@pytest.mark.parametrize("rows", [1, 10, 10_000])
+def test_cuts_with_ids_far_from_all_others(spark, rows):
+    """However ids lie, few documents are ordered at once, and the cut is the first document that reaches the cap."""
+    rng = random.Random(rows)
+    docs = [(lang, i, rng.randrange(1, 9), cap) for lang, cap in (("a", 900), ("b", 10), ("c", 10**6)) for i in [-(2**50), *range(500), 2**40, 2**60]]
+    got = {r["lang"]: r["cut_doc"] for r in C.cut_points(spark.createDataFrame(docs, "lang string, doc_id long, words long, cap long"), ["lang"], rows=rows).collect()}
+    want, totals = {}, {}
+    for lang, i, words, cap in docs:
+        totals[lang] = totals.get(lang, 0) + words
+        if totals[lang] >= cap:
+            want.setdefault(lang, i)
+    assert got == want and set(got) == {"a", "b"}
