@@ -8,7 +8,10 @@ is exact. Sets with the same prefix and size form one group, and only groups are
 1. Star pass: within each prefix shingle every group meets one leader. A pair passes by size,
    by the shingle's positions and by parity signatures, then members are verified by their whole
    sets. The links found settle nearly all near copies with work in proportion to the postings.
-2. Rest pass: every pair of members that shares a prefix shingle and is not yet in one component
+2. Rounds of leaders: within each prefix shingle whose members still lie in several components, all meet one
+   member, another one each round. Rounds go on while they settle a good part of what is left, so that a family of near
+   copies that the first leaders left in pieces grows together at a cost in proportion to its postings.
+3. Rest pass: every pair of members that shares a prefix shingle and is not yet in one component
    meets, the largest component of a shingle never with itself. Pairs that pass the filters
    are verified. No link between components is lost, and no group is expanded into all its pairs.
 
@@ -30,6 +33,8 @@ from tessitura.llm.wordhash import WHITE, Slice, mix, ngram_hashes, slices, word
 from tessitura.session import reliable_checkpoint
 
 LANES = 8  # signature words of 64 bits
+EARLIER = 4  # shingles of a prefix that are remembered with the one behind them
+SETTLED = 0.9  # a round of leaders is followed by another while it settles more than a tenth of the postings
 BROADCAST_ROWS = 500_000  # of 16 bytes of digest and an id: 12 MB
 
 
@@ -203,21 +208,62 @@ class _Join:
         pairs = met.union(own).join(member, "prefix").where("member.node != lead.node").where(_passes("member", "lead", self.percent))
         return pairs.groupBy(F.col("member.node").alias("a")).agg(F.min("lead.node").alias("b"))
 
-    def rest_pairs(self, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-        """Candidates in different components."""
+    def postings(self, nodes: DataFrame) -> DataFrame:
+        """A row for each prefix shingle of each set, with the few before it in the set's order."""
         lanes = [f"s{k}" for k in range(LANES)]
-        placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        postings = reliable_checkpoint(placed.select("node", "n", "root", *lanes, F.inline("posting")))
-        largest = postings.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(
-            F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1")
-        live = reliable_checkpoint(postings.join(largest.select("token", "largest"), "token"))
+        token, nothing = F.col("posting.token"), F.lit(None).cast("bigint")
+        shifted = [F.concat(F.array_repeat(nothing, k), token).alias(f"e{k}") for k in range(1, EARLIER + 1)]
+        rows = nodes.select("node", "n", *lanes, F.inline(F.arrays_zip(token.alias("token"), F.col("posting.place").alias("place"), *shifted)))
+        earlier = F.array_compact(F.array(*[f"e{k}" for k in range(1, EARLIER + 1)]))
+        return rows.where("token IS NOT NULL").select("node", "n", *lanes, "token", "place", earlier.alias("earlier"))
+
+    def live_postings(self, postings: DataFrame, roots: DataFrame) -> DataFrame:
+        """The postings of the shingles whose members lie in several components, with the largest of these."""
+        placed = postings.drop("root", "largest").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        largest = placed.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(
+            F.max_by("root", F.struct("k", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1")
+        return reliable_checkpoint(placed.join(largest.select("token", "largest"), "token"))
+
+    def leader_pairs(self, live: DataFrame, number: int) -> DataFrame:
+        """At most one candidate for each member: the leader of one of its shingles, another one every round, and one
+        that lies in the shingle's largest component if it can."""
+        lanes = [f"s{k}" for k in range(LANES)]
+        own = ("place", "n", "root", "node", *lanes)
+        leads = live.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("draw"), *own)).alias("l"))
+        leads = leads.select("token", F.struct(*(F.col(f"l.{c}").alias(c) for c in own)).alias("lead"))
+        member = live.select("token", "largest", F.struct(*own).alias("member"))
+        met = member.join(leads, "token").where("member.root != lead.root").where(_passes("member", "lead", self.percent))
+        outside = F.col("lead.root") != F.col("largest")
+        return met.groupBy(F.col("member.node").alias("a")).agg(F.min(F.struct(outside.alias("outside"), F.col("lead.node").alias("b"))).alias("l")).select("a", "l.b")
+
+    def rest_pairs(self, live: DataFrame) -> DataFrame:
+        """Candidates in different components.
+
+        Sets that are alike share most of their prefix shingles: a pair that shares one just before this shingle has met
+        under it already.
+        """
         left = live.where("root != largest").alias("left")
         right = live.alias("right")
+        new = ~F.arrays_overlap("left.earlier", "right.earlier")
         once = (F.col("right.root") == F.col("right.largest")) | (F.col("left.node") < F.col("right.node"))
         meet = (F.col("left.token") == F.col("right.token")) & (F.col("left.root") != F.col("right.root")) & once
-        return left.join(right, meet & _passes("left", "right", self.percent)).select(
+        return left.join(right, meet & new & _passes("left", "right", self.percent)).select(
             F.col("left.node").alias("a"), F.col("right.node").alias("b"))
 
+    def links(self, nodes: DataFrame) -> DataFrame:
+        """Links that connect what is similar: the star pass, its rounds, and the rest pass."""
+        links = self.verify(self.star_pairs(nodes), nodes)
+        live = self.live_postings(self.postings(nodes), components(links))
+        left, number = live.count(), 0
+        while left:
+            number += 1
+            links = reliable_checkpoint(links.union(self.verify(self.leader_pairs(live, number), nodes)))
+            live, before = self.live_postings(live, components(links)), left
+            left = live.count()
+            if left > SETTLED * before:
+                return links.union(self.verify(self.rest_pairs(live), nodes))
+        return links
+
     def run(self) -> DataFrame:
         profiles = self.profiles()
         usable = profiles.where("n > 0 AND doc_id IS NOT NULL")
@@ -226,9 +272,7 @@ class _Join:
             F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *lanes,
             F.first(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("place"))).alias("posting"))
         nodes = reliable_checkpoint(nodes)
-        links = self.verify(self.star_pairs(nodes), nodes)
-        links = links.union(self.verify(self.rest_pairs(nodes, components(links)), nodes))
-        rooted = nodes.select("node", "rep").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = nodes.select("node", "rep").join(components(self.links(nodes)), "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
         found = rooted.join(least, "root").select("node", "component_id")
         return profiles.join(found, "node", "left").select(

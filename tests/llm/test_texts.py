@@ -11,7 +11,7 @@ from tessitura.llm.components import components
 from tessitura.llm.decontaminate import find_passages
 from tessitura.llm.fm_index import FMIndex
 from tessitura.llm.html import extract_text, main_text
-from tessitura.llm.jaccard import near_duplicates
+from tessitura.llm.jaccard import _Join, near_duplicates
 from tessitura.llm.pii import KINDS, Redactor, find_personal_data
 from tessitura.llm.quality import score_quality
 from tessitura.llm.suffix import repeated_spans
@@ -73,6 +73,27 @@ def test_near_duplicates_match_brute_force(spark, size, percent):
     assert got == grouped(texts, size, percent)
 
 
+def test_a_family_whose_leaders_leave_pieces(spark, monkeypatch):
+    """Members of a large family link through a few others only; what is left for the rest pass stays in proportion."""
+    draw = random.Random(8)
+    base, texts = [f"w{k}" for k in range(120)], []
+    for _ in range(300):  # most pairs lie below 80 %, each member has some above
+        copy = list(base)
+        for _ in range(draw.randrange(1, 4)):
+            copy[draw.randrange(120)] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    made, plain = [], _Join.rest_pairs
+
+    def counted(self, live):
+        made.append((plain(self, live).count(), live.count()))
+        return plain(self, live)
+
+    monkeypatch.setattr(_Join, "rest_pairs", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs(spark, texts), 5, 80).collect()}
+    assert got == grouped(texts, 5, 80)
+    assert all(rows <= 2 * postings for rows, postings in made)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates(docs(spark, [])).count() == 0
     rows = [(4, "a b c d"), (4, "p q r s"), (9, "A b c d"), (7, "p q r s"), (None, "a b c d"), (None, None)]
