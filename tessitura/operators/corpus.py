@@ -120,16 +120,17 @@ def holdout_by_content(sentences: DataFrame, references: DataFrame, text: str =
 def contains_holdout(documents: DataFrame, passages: DataFrame, anchor_words: int = 5) -> DataFrame:
     """`(doc_id, item_id)`: the normalised document holds the passage as a run of whole words.
 
-    Equality on the passage's first words finds candidates (a hash join, no
-    pairing of everything with everything); only candidates are compared in full.
-    Passages shorter than the anchor are looked up by their own length.
+    A passage is looked for by its rarest run of `anchor_words` words (a shorter passage by the whole of it): one pass counts
+    the documents of every run of a passage, another finds those of the rarest ones, by equality. However many
+    documents share an opening or a phrase, only those with a passage's own words are compared in full.
     """
     from tessitura.functions.words import ngrams, words
 
-    docs = documents.select("doc_id", normalise(F.col("text")).alias("body"))
+    docs = reliable_checkpoint(documents.select("doc_id", normalise(F.col("text")).alias("body")))
     wanted = passages.select("item_id", normalise(F.col("text")).alias("passage")).where(F.col("passage") != "")
     ws = words(F.col("passage"))
-    anchored = wanted.select("item_id", "passage", F.array_join(F.slice(ws, 1, anchor_words), " ").alias("anchor"))
+    runs = F.when(F.size(ws) < anchor_words, F.array("passage")).otherwise(F.array_distinct(ngrams(ws, anchor_words, sentinels=False)))
+    anchors = wanted.select("item_id", "passage", F.explode(runs).alias("anchor"))
     shorter = wanted.where(F.size(ws) < anchor_words).agg(F.collect_set(F.size(ws)).alias("s")).scalar()
     body = words(F.col("body"))
     shingles = ngrams(body, anchor_words, sentinels=False)
@@ -140,11 +141,12 @@ def contains_holdout(documents: DataFrame, passages: DataFrame, anchor_words: in
                 F.array().cast("array<string>")
             ),
         )
-    candidates = (
-        docs.select("doc_id", F.explode(F.array_distinct(shingles)).alias("anchor"))
-        .join(anchored, "anchor")
-        .select("doc_id", "item_id", "passage")
-    )
+    found = docs.select("doc_id", F.explode(F.array_distinct(shingles)).alias("anchor"))
+    often = found.join(anchors.select("anchor").distinct(), "anchor", "left_semi").groupBy("anchor").agg(F.count("*").alias("n"))
+    counted = anchors.join(often, "anchor", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # A passage with a run that no document has is in no document.
+    rarest = counted.groupBy("item_id", "passage").agg(F.min(F.struct("n", "anchor")).alias("r")).where("r.n > 0")
+    candidates = found.join(rarest.select("item_id", "passage", "r.anchor"), "anchor").select("doc_id", "item_id", "passage")
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     return (
         candidates.join(docs, "doc_id")
@@ -270,20 +272,24 @@ def _winners(by_sentence: DataFrame, stops: dict[str, dict[int, int]]) -> DataFr
     return by_sentence.select("lang", "sentence", F.array_min("entries").alias("e")).where(F.col("e").isNotNull())
 
 
-def corpus_manifest(corpus: DataFrame, sources: DataFrame, langs: list[str]) -> DataFrame:
+def corpus_manifest(corpus: DataFrame, sources: DataFrame, langs: list[str], errors: DataFrame | None = None) -> DataFrame:
     """Disclosure rows, one per language and configured source: sentences, words, repeats and licence.
 
     Sources that kept nothing count 0. `capped` marks those that reached their cap, `skipped` those that
-    the configuration leaves out (`audio_heavy`).
+    the configuration leaves out (`audio_heavy`). `errors` (`source, error`), if given, adds why a source
+    could not be read.
     """
     per = corpus.groupBy("lang", "source").agg(
         F.count("*").alias("sentences"), F.sum(n_words(F.col("sentence"))).alias("words")
     )
     every = sources.withColumn("lang", F.explode(F.array(*[F.lit(lg) for lg in langs])))
     joined = every.join(per, ["lang", "source"], "left").fillna(0, ["sentences", "words"])
+    if errors is not None:
+        joined = joined.join(dimension(errors), "source", "left")
     return joined.select(
         "lang", "source", "sentences", "words", F.col("weight").alias("repeated"), "licence",
         F.coalesce(F.col("words") >= F.col("cap"), F.lit(False)).alias("capped"), F.col("audio_heavy").alias("skipped"),
+        *(["error"] if errors is not None else []),
     )
 
 

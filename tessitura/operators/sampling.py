@@ -6,12 +6,18 @@ under any partitioning, and a lost executor recomputes the same rows.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, StringType
 
 from tessitura.functions.draws import SEED, draw, pick, unit
 from tessitura.session import dimension, reliable_checkpoint
 
+#: A vocabulary that is sent to every task; larger ones are joined.
+SHIPPED_BYTES = 32 << 20
+
 
 def top_by_count(counts: DataFrame, by: list[str], value: str, n: str, cap: int, salts: int = 64) -> DataFrame:
     """The `cap` most frequent values per group, ties in value order; exact.
@@ -39,8 +45,9 @@ def noise_vocabulary(texts: DataFrame, text: str) -> DataFrame:
 def _noisy(rows: DataFrame, row_id: list[str], items: Column, key: Column, rate: Column, seed, vocab: DataFrame, make, out: str) -> DataFrame:
     """Per item: substitute below .7 of the rate, delete below .9, insert after it below 1.
 
-    The draws are hashes of (seed, key, position) and give word numbers. Only positions that need a noise word
-    meet the vocabulary, by number, so no word is hot; a row's noise words then return to it under `row_id`.
+    The draws are hashes of (seed, key, position) and give word numbers. A vocabulary of at most SHIPPED_BYTES goes to
+    the tasks and the rows stay where they are. Beyond that, the positions that need a noise word meet the
+    vocabulary, by number, so no word is hot, and a row's noise words return to it under `row_id`.
     A row left without items gets one noise word.
     """
     size = vocab.count()
@@ -57,11 +64,28 @@ def _noisy(rows: DataFrame, row_id: list[str], items: Column, key: Column, rate:
     staged = staged.withColumns({"_kept": kept, "_wanted": wanted}).drop("_drawn", "_rate")
     wanted = F.when((F.size("_kept") == 0) & (F.size("_wanted") == 0), F.array(spare)).otherwise(F.col("_wanted"))
     staged = staged.withColumn("_wanted", wanted)
-    noise = staged.select(*row_id, F.explode("_wanted").alias("x")).select(*row_id, "x.*").join(vocab, "idx")
-    noise = noise.groupBy(*row_id).agg(F.collect_list(F.struct("at", make(F.col("word")).alias("item"))).alias("_noise"))
+    if (vocab.agg(F.sum(F.octet_length("word") + 4)).first()[0] or 0) <= SHIPPED_BYTES:
+        words = _picked(vocab)(F.transform("_wanted", lambda x: x["idx"]))
+        noise = F.zip_with("_wanted", words, lambda x, w: F.struct(x["at"].alias("at"), make(w).alias("item")))
+        joined = staged.withColumn("_noise", noise)
+    else:
+        noise = staged.select(*row_id, F.explode("_wanted").alias("x")).select(*row_id, "x.*").join(vocab, "idx")
+        noise = noise.groupBy(*row_id).agg(F.collect_list(F.struct("at", make(F.col("word")).alias("item"))).alias("_noise"))
+        joined = staged.join(noise, row_id, "left")
     both = F.when(F.col("_noise").isNull(), F.col("_kept")).otherwise(F.concat("_kept", "_noise"))
-    joined = staged.join(noise, row_id, "left").withColumn(out, F.transform(F.array_sort(both), lambda x: x["item"]))
-    return joined.drop("_kept", "_wanted", "_noise")
+    return joined.withColumn(out, F.transform(F.array_sort(both), lambda x: x["item"])).drop("_kept", "_wanted", "_noise")
+
+
+def _picked(vocab: DataFrame):
+    """A function from word numbers to words, for a vocabulary that every task may hold."""
+    table = vocab.orderBy("idx").select("word").toArrow().column("word").combine_chunks()
+    held = vocab.sparkSession.sparkContext.broadcast(table)
+
+    @arrow_udf(ArrayType(StringType()))
+    def pick_words(numbers: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(numbers.offsets, held.value.take(numbers.values))
+
+    return pick_words
 
 
 def corrupt_words(rows: DataFrame, ws: Column, key: str, vocab: DataFrame, rate: Column | float, seed=SEED, out: str = "noisy", row_id: list[str] | None = None) -> DataFrame:

@@ -78,6 +78,17 @@ def corpus_manifest(spark, sf_dir):
     return C.corpus_manifest(built(spark, sf_dir), sources(spark, sf_dir), list(V.LANGS))
 
 
+def corpus_manifest_errors(spark, sf_dir):
+    """The manifest of documents from two places, one of which does not exist."""
+    columns = "doc_id bigint, lang string, source string, text string"
+    tables = {"documents": f"{sf_dir}/documents.parquet", "gone": f"{sf_dir}/gone.parquet"}
+    docs, errors = readers.read_sources(spark, tables, columns)
+    missing = spark.createDataFrame([("gone", 20, None, 1, "CC0-1.0", False)], sources(spark, sf_dir).schema)
+    corpus = C.to_sentences(docs.select("lang", "source", "doc_id", "text"))
+    rows = C.corpus_manifest(corpus, sources(spark, sf_dir).union(missing), list(V.LANGS), errors)
+    return rows.select("lang", "source", "sentences", "words", "repeated", "skipped", F.col("error").isNotNull().alias("failed"))
+
+
 def write_manifest(spark, sf_dir):
     """The manifest, written as JSON and read back."""
     rows, dims = built(spark, sf_dir), sources(spark, sf_dir)
@@ -268,7 +279,7 @@ def incremental_corpus(spark, sf_dir):
 QUERIES = {
     "incremental_corpus": incremental_corpus,
     "corpus_sources": corpus_sources, "dedupe_prioritised": dedupe_prioritised, "cap_words": cap_words,
-    "corpus_manifest": corpus_manifest, "write_manifest": write_manifest, "corpus_verdict": corpus_verdict,
+    "corpus_manifest": corpus_manifest, "corpus_manifest_errors": corpus_manifest_errors, "write_manifest": write_manifest, "corpus_verdict": corpus_verdict,
     "write_corpus": write_corpus, "write_submission": write_submission, "read_escaped_csv": read_escaped_csv, "holdout_by_id": holdout_by_id, "holdout_by_content": holdout_by_content,
     "contains_holdout": contains_holdout, "leak_guard": leak_guard, "template_union": template_union,
     "template_fill": template_fill, "template_fill_counts": template_fill_counts, "score_pairs": score_pairs,
@@ -351,6 +362,14 @@ SQL = {
     "corpus_manifest": Q.query(
         *_BUILT, _PER, "SELECT * FROM per"
     ),
+    "corpus_manifest_errors": Q.query(
+        Q.SENT, _DIM,
+        "langs(lang) AS (VALUES " + ", ".join(f"('{lang}')" for lang in V.LANGS) + ")",
+        "every AS (SELECT source, weight::BIGINT AS weight, audio_heavy, false AS failed FROM dim UNION ALL SELECT 'gone', 1::BIGINT, false, true)",
+        f"k AS (SELECT lang, source, count(*) AS sentences, sum({Q.nw('sentence')})::BIGINT AS words FROM sent GROUP BY ALL)",
+        """SELECT lang, source, coalesce(sentences, 0) AS sentences, coalesce(words, 0)::BIGINT AS words, weight AS repeated, audio_heavy AS skipped, failed
+             FROM every CROSS JOIN langs LEFT JOIN k USING (lang, source)""",
+    ),
     "write_manifest": Q.query(
         *_BUILT,
         _PER,

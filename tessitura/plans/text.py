@@ -10,6 +10,8 @@ from tessitura.functions.words import ngrams, punct_labels, words
 from tessitura.operators import corpus, profile, punct
 from tessitura.plans import sql as Q
 from tessitura.plans import views as V
+from tessitura.session import shared_folder
+from tessitura.sources import readers, writers
 
 RARE = 25  # fixed value: occurrences a character needs
 
@@ -200,6 +202,13 @@ def explode_routing_map(spark, sf_dir):
     return rows.groupBy("event_type", "key").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("bigint")).alias("total"))
 
 
+def routing_map_files(spark, sf_dir):
+    """The language of every utterance, written as routing maps and read back in pieces."""
+    folder = shared_folder(spark, "maps")
+    writers.write_routing_map(V.utterances(spark, sf_dir), folder)
+    return readers.split_routing_map(spark, folder)
+
+
 def file_manifest_profile(spark, sf_dir):
     pages = V.table(spark, sf_dir, "pages").select(F.col("url").alias("path"))
     expected = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"))
@@ -225,7 +234,7 @@ QUERIES = {
     "chat_messages": chat_messages, "chat_conversations": chat_conversations, "ngrams": ngrams_query, "context_features": context_features,
     "char_vocab": char_vocab, "word_vocab": word_vocab, "text_profile": text_profile,
     "char_profile": char_profile, "text_samples": text_samples, "split_filter": split_filter,
-    "trainable_pairs": trainable_pairs, "explode_routing_map": explode_routing_map,
+    "trainable_pairs": trainable_pairs, "explode_routing_map": explode_routing_map, "routing_map_files": routing_map_files,
     "file_manifest_profile": file_manifest_profile,
 }
 
@@ -365,6 +374,7 @@ SQL = {
         f"""SELECT * FROM (SELECT utt_id, lang, length(ref) AS n_labels, length(ref) * (900 + {Q.whole(Q.draw('pace', 'utt_id'))} % 600) AS n_samples FROM utt)
             WHERE n_samples BETWEEN 16000 AND 320000 AND n_labels > 0 AND n_labels * 1.5 < n_samples / 320""",
     ),
+    "routing_map_files": Q.query(Q.UTT, "SELECT utt_id, lang FROM utt"),
     "explode_routing_map": """SELECT event_type, key, count(*) AS n, sum((props ->> key)::BIGINT)::BIGINT AS total
         FROM (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events) GROUP BY ALL""",
     "file_manifest_profile": Q.query(

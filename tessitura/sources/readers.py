@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -34,6 +35,22 @@ def read_escaped_csv(spark: SparkSession, path: str, schema: StructType, mode: s
     return parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rejected
 
 
+def read_sources(spark: SparkSession, paths: dict[str, str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of every source's Parquet table that can be opened, under `origin`, and `source, error` of the others.
+
+    A source that was moved or renamed costs its own rows only. Every table is read with the columns of `schema`.
+    """
+    found, failed = spark.createDataFrame([], f"{schema}, origin string"), []
+    for name, path in paths.items():
+        try:
+            rows = spark.read.parquet(path).select(*[F.col(f.name).cast(f.dataType) for f in found.schema.fields[:-1]])
+        except AnalysisException as problem:
+            failed.append((name, str(problem)[:200]))
+        else:
+            found = found.union(rows.withColumn("origin", F.lit(name)))
+    return found, spark.createDataFrame(failed, "source string, error string")
+
+
 def explode_map(rows: DataFrame, column: str, key: str, value: str) -> DataFrame:
     """One row per entry of a column of flat JSON objects."""
     kept = [c for c in rows.columns if c != column]
@@ -46,6 +63,24 @@ def explode_routing_map(spark: SparkSession, path: str) -> DataFrame:
     return explode_map(text, "value", "utt_id", "lang")
 
 
+def split_routing_map(spark: SparkSession, path: str) -> DataFrame:
+    """`explode_routing_map` for objects of any size: no row holds a whole file, and a file is read by several tasks.
+
+    The text is cut behind strings that a comma follows, where entries end. A piece's number of quotes tells
+    whether its last one was cut off; with that put back, a piece is an object of a few entries. A string with an escaped
+    quote before a comma is cut inside, which is an error here: such a file must be read whole.
+    """
+    pieces = spark.read.option("lineSep", '",').text(path)
+    body = F.regexp_replace("value", r"^\s*\{", "")
+    bare = F.regexp_replace("value", r"\\.", "")
+    closed = (F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))) % 2 == 0
+    split = F.col("value").rlike(r"(?<!\\)(?:\\\\)*\\$")
+    entry = F.when(closed, F.regexp_replace(body, r"\}\s*$", "")).otherwise(F.concat(body, F.lit('"')))
+    parsed = F.from_json(F.concat(F.lit("{"), entry, F.lit("}")), "map<string,string>", {"mode": "FAILFAST"})
+    checked = F.when(split, F.raise_error(F.lit("an escaped quote before a comma: read the file whole"))).otherwise(parsed)
+    return pieces.select(F.explode(checked).alias("utt_id", "lang"))
+
+
 MANIFEST = (
     "seed bigint, n bigint, source string, target_mix map<string,double>, actual_mix map<string,double>, "
     "items array<struct<id:string,language:string,reference:string>>"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,23 @@ def manifest_rows(manifests: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def write_routing_map(rows: DataFrame, path: str, key: str = "utt_id", value: str = "lang") -> None:
+    """Routing maps: a file of one flat JSON object for each task, an entry a line. NULL keys are left out."""
+
+    def objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = "{"
+        for batch in batches:
+            lines = []
+            for k, v in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
+                lines.append(last if last == "{" else last + ",")
+                last = f"{json.dumps(k, ensure_ascii=False)}: {json.dumps(v, ensure_ascii=False)}"
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([last + "}"])], names=["value"])
+
+    named = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("string"), F.col(value).cast("string"))
+    named.mapInArrow(objects, "value string").write.mode("overwrite").text(path)
+
+
 def write_submission(rows: DataFrame, path: str, columns: tuple[str, ...] = ("ID", "Target"), row_no: str = "row_no") -> None:
     """One CSV file in template order.
 

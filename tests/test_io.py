@@ -28,6 +28,31 @@ def test_routing_map_files(spark, tmp_path):
     assert readers.list_files(spark, str(tmp_path)).count() == 1
 
 
+@pytest.mark.parametrize("indent", [None, 1])
+def test_routing_maps_in_pieces(spark, tmp_path, indent):
+    whole = {f"ID_{k}": "lin" for k in range(300)} | {"é{": "x}", "a b": "", "q\\\\": 'say "hi" there', "n": 5, "m": None, "last": "z}"}
+    (tmp_path / "m.json").write_text(json.dumps(whole, indent=indent, ensure_ascii=False) + "\n", encoding="utf-8")
+    (tmp_path / "e.json").write_text("{}", encoding="utf-8")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+        got = readers.split_routing_map(spark, str(tmp_path))
+        rows = got.collect()
+        assert got.rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == len(whole) and {r["utt_id"]: r["lang"] for r in rows} == {k: None if v is None else str(v) for k, v in whole.items()}
+    (tmp_path / "bad.json").write_text(json.dumps({"a": 'x\\", y', "b": "c"}), encoding="utf-8")
+    with pytest.raises(Exception, match="read the file whole"):
+        readers.split_routing_map(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_routing_maps_are_written_and_read(spark, tmp_path):
+    rows = [(f"u{k}", ["lin", None, "s\u00fc"][k % 3]) for k in range(40)]
+    writers.write_routing_map(spark.createDataFrame([*rows, (None, "x")], "utt_id string, lang string").repartition(3), str(tmp_path / "maps"))
+    for read in (readers.split_routing_map, readers.explode_routing_map):
+        assert sorted(map(tuple, read(spark, str(tmp_path / "maps")).collect()), key=str) == sorted(rows, key=str)
+
+
 def test_submission_keeps_template_order_and_fills_blanks(spark, tmp_path):
     template = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3)], "ID string, row_no int")
     preds = spark.createDataFrame([("a", 'say "hi", x'), ("b", " ")], "ID string, prediction string")

@@ -374,3 +374,25 @@ def test_cuts_with_ids_far_from_all_others(spark, rows):
         if totals[lang] >= cap:
             want.setdefault(lang, i)
     assert got == want and set(got) == {"a", "b"}
+
+
+def test_passages_behind_an_opening_that_most_documents_share(spark):
+    rng = random.Random(4)
+    opening = "as a service to all our readers we print this note in full"
+    tail = lambda i: "tail" + "".join(chr(97 + int(d)) for d in str(i))
+    bodies = [f"{opening if i % 10 else ''} {' '.join(rng.choice('abcdefgh') * 3 for _ in range(30))} {tail(i)}" for i in range(200)]
+    passages = [(k, " ".join(bodies[17 * k].split()[: 16 + k])) for k in range(1, 9)] + [(20, opening), (21, opening + " elsewhere"), (22, tail(7)), (22, tail(8))]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    got = sorted(map(tuple, C.contains_holdout(docs, spark.createDataFrame(passages, "item_id long, text string")).collect()))
+    assert got == sorted((i, k) for i, b in enumerate(bodies) for k, p in passages if f" {p} " in f" {' '.join(b.split())} ")
+
+
+def test_noise_words_are_the_same_sent_or_joined(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"k{i}", " ".join(f"w{(i * j) % 50}" for j in range(i % 12 + 1))) for i in range(200)], "k string, t string")
+    vocab = A.noise_vocabulary(rows, "t")
+    made = []
+    for limit in (1 << 20, -1):
+        monkeypatch.setattr(A, "SHIPPED_BYTES", limit)
+        out = A.corrupt_words(rows, F.split("t", " "), "k", vocab, 0.6)
+        made.append(({r["k"]: r["noisy"] for r in out.collect()}, "ArrowEvalPython" in out._jdf.queryExecution().toString()))
+    assert made[0][0] == made[1][0] and (made[0][1], made[1][1]) == (True, False)
