@@ -133,6 +133,16 @@ def read_escaped_csv(spark, sf_dir):
     return good.withColumn("rejected", F.lit(rejected.count()).cast("long"))
 
 
+def read_split_csv(spark, sf_dir):
+    """Whole documents, line breaks and all, written as escaped CSV and read back by as many tasks as the files have splits."""
+    rows = V.table(spark, sf_dir, "documents").where("text <> ''").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("transcription"), F.col("lang").alias("language"), F.col("source").alias("original_split"))
+    folder = shared_folder(spark, "documents-csv")
+    rows.write.option("header", True).option("quote", '"').option("escape", "\\").option("quoteAll", True).csv(folder)
+    good, _ = readers.read_split_csv(spark, folder, readers.TRANSCRIPTS)
+    return good.select("id", "language", "original_split", F.length("transcription").cast("long").alias("chars"), F.md5("transcription").alias("digest"))
+
+
 def holdout_by_id(spark, sf_dir):
     utts = V.utterances(spark, sf_dir)
     held = utts.where(V.original_split(F.col("utt_id")) == "validation").select("utt_id")
@@ -280,7 +290,8 @@ QUERIES = {
     "incremental_corpus": incremental_corpus,
     "corpus_sources": corpus_sources, "dedupe_prioritised": dedupe_prioritised, "cap_words": cap_words,
     "corpus_manifest": corpus_manifest, "corpus_manifest_errors": corpus_manifest_errors, "write_manifest": write_manifest, "corpus_verdict": corpus_verdict,
-    "write_corpus": write_corpus, "write_submission": write_submission, "read_escaped_csv": read_escaped_csv, "holdout_by_id": holdout_by_id, "holdout_by_content": holdout_by_content,
+    "write_corpus": write_corpus, "write_submission": write_submission, "read_escaped_csv": read_escaped_csv, "read_split_csv": read_split_csv,
+    "holdout_by_id": holdout_by_id, "holdout_by_content": holdout_by_content,
     "contains_holdout": contains_holdout, "leak_guard": leak_guard, "template_union": template_union,
     "template_fill": template_fill, "template_fill_counts": template_fill_counts, "score_pairs": score_pairs,
     "id_reconcile": id_reconcile, "routing_precedence": routing_precedence, "map_coverage_guard": map_coverage_guard,
@@ -395,6 +406,8 @@ SQL = {
         "SELECT doc_id, item_id FROM d JOIN p ON contains(b, q)",
     ),
     "write_submission": "SELECT 'item_' || item_id AS ID, text AS Target FROM benchmark",
+    "read_split_csv": """SELECT doc_id::VARCHAR AS id, lang AS language, source AS original_split, length(text) AS chars, md5(text) AS digest
+        FROM documents WHERE text <> ''""",
     "read_escaped_csv": """SELECT item_id::VARCHAR AS id, 'say "' || text || '", then' || chr(10) || 'go' AS transcription, 'en' AS language,
         'train' AS original_split, 0::BIGINT AS rejected FROM benchmark""",
     "leak_guard": Q.query(

@@ -28,6 +28,25 @@ def test_routing_map_files(spark, tmp_path):
     assert readers.list_files(spark, str(tmp_path)).count() == 1
 
 
+@pytest.mark.parametrize("size", [29, 100_000])
+def test_csv_records_over_lines_and_splits(spark, tmp_path, size):
+    rows = ['lug_%d,"line one\nline \\\\"two\\\\", %s\n\n\nend",lug,train' % (k, "x" * (k % 40)) for k in range(30)]
+    rows += ["lug_90,plain,lug,train", 'lug_91,"",lug,', "", "lug_92,too,many,fields,here", 'lug_93,"a ""b",lug,train', 'lug_94,5 in,"lug",train']
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("id,transcription,language,original_split\n" + "\n".join(rows) + "\n", encoding="utf-8")
+    want, lost = readers.read_escaped_csv(spark, str(tmp_path), readers.TRANSCRIPTS)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        got, bad = readers.read_split_csv(spark, str(tmp_path), readers.TRANSCRIPTS)
+        found, rejected = sorted(map(tuple, got.collect()), key=str), bad.count()
+    finally:
+        for key in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{key}")
+    assert found == sorted(map(tuple, want.collect()), key=str) and rejected == lost.count() > 0
+
+
 @pytest.mark.parametrize("indent", [None, 1])
 def test_routing_maps_in_pieces(spark, tmp_path, indent):
     whole = {f"ID_{k}": "lin" for k in range(300)} | {"é{": "x}", "a b": "", "q\\\\": 'say "hi" there', "n": 5, "m": None, "last": "z}"}
