@@ -1,5 +1,8 @@
 """From raw documents to token shards: every stage works on all that its predecessor kept.
 
+Every stage takes empty tables, rows that repeat, NULL in any column, and columns of any other name, which it returns as
+they are.
+
 Quality keeps what the classifier accepts, near duplicates keep one document of each group, decontamination
 drops documents by the contract's rule, mixing repeats or leaves out documents towards its targets, and the
 last stage writes token ids and returns what it reads back. All but the last return the columns of documents.
@@ -18,8 +21,14 @@ from tessitura.llm.tokens import END_ID, byte_level_path, read_tokens, write_tok
 from tessitura.session import shared_folder
 
 QUALITY = 0.5
-# Names for what a stage works with, apart from any column a table may bring.
-SCORE, FOUND, MIX = "__score", "__found", "__mix"
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A name for what a stage works with, apart from every column that the table brings."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +36,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier, trained on the labelled ones among them, does not reject."""
-    scored = score_quality(docs, _table(spark, sf_dir, "labels"), into=SCORE)
-    return scored.where(F.col(SCORE) >= QUALITY).select(*docs.columns)
+    """The documents that the classifier, trained on the labelled ones among them, does not reject.
+
+    NULL and empty texts are scored like any other; rows without an id are never labelled, and are scored too.
+    """
+    score = _free(docs, "score")
+    scored = score_quality(docs, _table(spark, sf_dir, "labels"), into=score)
+    return scored.where(F.col(score) >= QUALITY).select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +56,16 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without, or with only a trace of, benchmark passages."""
-    found = find_passages(docs, _table(spark, sf_dir, "benchmark"), into=FOUND)
-    return found.where(~contaminated(FOUND)).select(*docs.columns)
+    """The documents without, or with only a trace of, benchmark passages. NULL and empty texts have none and stay."""
+    found = _free(docs, "found")
+    marked = find_passages(docs, _table(spark, sf_dir, "benchmark"), into=found)
+    return marked.where(~contaminated(found)).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return emitted(mix(docs, into=MIX), MIX).select(*docs.columns)
+    """Each document as often as the mix takes it. Sources may be NULL; a document without words is taken like others."""
+    mixed = _free(docs, "mixed")
+    return emitted(mix(docs, into=mixed), mixed).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
