@@ -81,13 +81,13 @@ def _counted_shingles(size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id")
             for part in slices(batch.column("text")):
                 sets = [v[v % classes == 0] for v in shingle_sets(part, size)]
                 lengths = [len(v) for v in sets]
-                doc = np.repeat(ids[part.first : part.first + len(sets)], lengths)
+                doc = ids.take(pa.array(np.repeat(np.arange(part.first, part.first + len(sets)), lengths)))
                 token = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(token)], names=["doc_id", "token"])
+                yield pa.RecordBatch.from_arrays([doc, pa.array(token)], names=["doc_id", "token"])
 
     return run
 
