@@ -66,7 +66,8 @@ def validate_submission(
     """`rule, severity, value` for every broken rule of the file contract.
 
     Each side is read once; facts are gathered as rows and pivoted, and the rules
-    are arithmetic on them. Column names and order are checked where they are
+    are arithmetic on them. A file whose ids match none of the template's fails as such
+    (`no_template`). Column names and order are checked where they are
     known, on the driver. Severity is FAIL or WARN.
     """
     facts = (
@@ -83,6 +84,7 @@ def validate_submission(
     columns_ok = columns is None or list(columns) == [c for c in submission.columns if c != row_no]
     rules: list[tuple[str, str | Column, Column, Column]] = [
         ("columns", "FAIL", F.lit(0.0 if columns_ok else 1.0), F.lit(not columns_ok)),
+        ("no_template", "FAIL", f["id_expected"], (f["id_expected"] > 0) & (f["id_missing"] == f["id_expected"])),
         ("row_count", "FAIL", f["sub_rows"] - f["id_expected"], f["sub_rows"] != f["id_expected"]),
         ("missing_ids", "FAIL", f["id_missing"], f["id_missing"] > 0),
         ("unexpected_ids", "FAIL", f["id_unexpected"], f["id_unexpected"] > 0),
