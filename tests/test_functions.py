@@ -91,6 +91,20 @@ def test_oracle_marks_last_occurrence_wins(values):
     assert values(oracle_marks(ref, t), ["ab x c d ab", ""]) == ["ab. x c d ab.", ""]
 
 
+def test_oracle_marks_of_long_rows(values):
+    rng = random.Random(2)
+    ref = " ".join(f"w{rng.randrange(40)}" + rng.choice(["", "", ".", ",", "'s"]) for _ in range(400))
+    hyp = " ".join(rng.choice(["w%d" % rng.randrange(60), "w1s", ",", "."]) for _ in range(400))
+    full = {}
+    for w in ref.split(" "):
+        bare = "".join(c for c in w if c not in T.ALL_PUNCTUATION)
+        if bare != w:
+            full[bare] = w
+    want = " ".join(full.get(w, w) for w in hyp.split(" "))
+    got = values(oracle_marks(F.lit(ref), t), [hyp, "", None, "w1 " * 3 + "w2"])
+    assert got == [want, "", None, " ".join(full.get(w, w) for w in "w1 w1 w1 w2".split())]
+
+
 def test_distances(values, spark):
     def plain(a, b):
         row = list(range(len(b) + 1))

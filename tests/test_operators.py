@@ -396,3 +396,12 @@ def test_noise_words_are_the_same_sent_or_joined(spark, monkeypatch):
         out = A.corrupt_words(rows, F.split("t", " "), "k", vocab, 0.6)
         made.append(({r["k"]: r["noisy"] for r in out.collect()}, "ArrowEvalPython" in out._jdf.queryExecution().toString()))
     assert made[0][0] == made[1][0] and (made[0][1], made[1][1]) == (True, False)
+
+
+def test_a_file_that_matches_no_template_fails(spark):
+    rows = spark.createDataFrame([("x1", "a b", 1), ("x2", "c d", 2)], "ID string, Target string, row_no int")
+    template = spark.createDataFrame([("y1", 1), ("y2", 2)], "ID string, row_no int")
+    refs = spark.createDataFrame([("a b c d",)], "ref string")
+    broken = {r["rule"]: r["severity"] for r in V.validate_submission(rows, template, refs).collect()}
+    assert broken["no_template"] == "FAIL"
+    assert "no_template" not in {r["rule"] for r in V.validate_submission(rows, template.union(rows.select("ID", "row_no").limit(1)), refs).collect()}
