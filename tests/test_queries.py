@@ -1,7 +1,7 @@
 """Every registered query with SQL against that SQL on the smallest tables.
 
-ORACLE=all adds the slowest, which fit a language model, sweep whole grids or run the pipeline. `python
-tests/oracle.py` runs all of them at sf0.01.
+ORACLE=all adds the slowest, which fit a language model or sweep whole grids. `python tests/oracle.py` runs all of
+them at sf0.01.
 """
 
 import os
@@ -13,7 +13,7 @@ from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 SLOW = {
-    "rescore_grid", "lm_score", "kn_probabilities", "punct_probe", "punct_restorer", "threshold_sweep", "additive_sweep", "bakeoff", "bakeoff_total",
+    "rescore_grid", "lm_score", "kn_probabilities", "punct_probe", "threshold_sweep", "additive_sweep", "bakeoff", "bakeoff_total",
     "control_delta", "falsify_hypotheses", "falsify_corrected", "projection_grid", "route_projection", "calibration",
 }
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
