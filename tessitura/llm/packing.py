@@ -25,20 +25,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessitura.llm.encoding import LETTERS, NUMBERS, WHITE, WordIds
 from tessitura.llm.wordhash import slices
 from tessitura.session import shared_folder
 
 END_ID = 2
 WINDOW = 4096
 SLACK = 64
-CACHE_BYTES = 128 << 20
-#: About what a cached word costs beside its letters and ids.
-ENTRY_BYTES = 200
-#: How the vocabulary's own pattern cuts lower-case text below U+0100: contractions, letters, one digit, the rest.
-LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \t\n\r\x0b\x0c\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
-BEYOND_LATIN = re.compile("[^\x00-\xff]")
-WHITE = re.compile("[ \t\n\r\x0b\x0c]+")
-PLAIN = re.compile("[!-~]+")
+#: The words of lower-case text below U+0100: letters, contractions, one number, the rest.
+WORDS = re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^{WHITE}{LETTERS}{NUMBERS}]+")
+SPACES = re.compile("[ \t\n\r\x0b\x0c]+")
 RANK_BITS = 44
 
 
@@ -49,52 +45,18 @@ def word_level_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder(dict):
-    """Little-endian ids of text under a vocabulary that drops case and white space, a word at a time.
+class Encoder(WordIds):
+    """Ids under a vocabulary that drops case and white space."""
 
-    No token crosses a word, so a text's ids are those of its words in a row. Text below U+0100 is cut as the
-    vocabulary's pattern cuts it; other text is cut at white space, and so is text that holds an added token,
-    which is taken out before the pattern applies. The mapping itself is the cache of words; it is emptied when
-    it holds `limit` bytes.
-    """
-
-    def __init__(self, path: str, end_id: int, limit: int = CACHE_BYTES) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.kind = "<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        self.end = np.array([end_id], self.kind).tobytes()
-        self.limit, self.used = limit, 0
-
-    def __missing__(self, word: str) -> bytes:
-        if self.used > self.limit:
-            self.clear()
-            self.used = 0
-        if self._latin(word) and LATIN_WORDS.findall(word.lower()) == [word]:
-            letters = word if PLAIN.fullmatch(word) else self.bytes.pre_tokenize_str(word)[0][0]
-            found = [t.id for t in self.tokenizer.model.tokenize(letters)]
-        else:
-            found = self.tokenizer.encode(word, add_special_tokens=False).ids
-        ids = np.array(found, self.kind).tobytes()
-        if len(word) < 256:
-            self[word] = ids
-            self.used += len(word) + len(ids) + ENTRY_BYTES
-        return ids
-
-    def _latin(self, text: str) -> bool:
-        return not BEYOND_LATIN.search(text) and not any(token in text for token in self.added)
+    def __init__(self, path: str, end_id: int, **limits: int) -> None:
+        super().__init__(path, end_id, WORDS, lower=True, **limits)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, the end id included."""
-        if self._latin(text):
-            words = LATIN_WORDS.findall(text.lower())
-        else:
-            words = []
-            for piece in WHITE.split(text):
-                words += LATIN_WORDS.findall(piece.lower()) if self._latin(piece) else [piece]
-        return b"".join(map(self.__getitem__, words)) + self.end
+        if self.latin(text):
+            return self.ids_of(text) + self.end
+        # No word crosses white space.
+        return b"".join([self.ids_of(p) if self.latin(p) else self.whole(p) for p in SPACES.split(text)]) + self.end
 
 
 @lru_cache(1)

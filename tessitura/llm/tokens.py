@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessitura.llm.encoding import LETTERS, NUMBERS, WHITE, WordIds
 from tessitura.llm.files import ranged, written
 from tessitura.llm.wordhash import slices
 
@@ -37,7 +38,9 @@ HEAD = 40
 DICTIONARY_BYTES = 64 << 10
 #: A space with white space or an end beside it: the text is then encoded in one piece.
 UNEVEN = re.compile(r"\s | \s|^ | $")
-SPACE_MARK = "Ġ"  # the byte-level alphabet's letter for a space
+#: The words of text below U+0100: letters, contractions, numbers or other signs, with a space before them or not, and white
+#: space, whose last character is left to what follows.
+WORDS = re.compile(f" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+| ?[^{WHITE}{LETTERS}{NUMBERS}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
 def byte_level_path() -> str:
@@ -47,62 +50,22 @@ def byte_level_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder:
-    """Encodes texts with the tokenizers library, a piece between single spaces at a time.
+class Encoder(WordIds):
+    """Ids under a byte-level vocabulary, which keeps white space: a single space opens the word behind it."""
 
-    Byte-level pre-tokenisation always cuts before a lone space, so a text's ids are those of its
-    pieces in a row. Pieces met before come from a bounded cache; new ones are encoded many at once,
-    and told apart by the space that opens each. A text that holds an added token's content is encoded
-    in one piece: the token is taken out before the pre-tokeniser sees what lies around it.
-    """
+    def __init__(self, path: str, end_id: int, **limits: int) -> None:
+        super().__init__(path, end_id, WORDS, **limits)
+        self.width = int(self.kind[-1])
 
-    def __init__(self, path: str, end_id: int, cached: int = 3 << 18) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        size = self.tokenizer.get_vocab_size()
-        self.width = 2 if max(size, end_id + 1) <= 1 << 16 else 4
-        self.opens = np.zeros(max(size, end_id + 1), bool)
-        for token, number in self.tokenizer.get_vocab().items():
-            self.opens[number] = token.startswith(SPACE_MARK)
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.cached, self.cache = cached, {}
-
-    def _adds(self, text: str) -> bool:
-        return any(token in text for token in self.added)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 256):
-            some = pieces[at : at + 256]
-            joined = "".join([" " + p for p in some])
-            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(some) and not self._adds(joined):
-                raw = ids.tobytes()
-                ends = [*(cuts[1:] * 4).tolist(), len(raw)]
-                self.cache.update({p: raw[a:b] for p, a, b in zip(some, (cuts * 4).tolist(), ends)})
-            else:
-                self.cache.update({p: self._whole(" " + p) for p in some})
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, the end id included."""
-        split = [None if UNEVEN.search(t) or self._adds(t) else t.split(" ") for t in texts]
-        if len(self.cache) > self.cached:
-            self.cache.clear()
-        met = set()
-        for pieces in split:
-            if pieces:
-                met.update(pieces[1:])
-        self._learn([p for p in met if p not in self.cache])
-        get = self.cache.__getitem__
-        return [
-            (self._whole(text) if pieces is None else self._whole(pieces[0]) + b"".join(map(get, pieces[1:]))) + self.end
-            for text, pieces in zip(texts, split)
-        ]
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, the end id included, of `width` bytes each."""
+        if self.latin(text):
+            return self.ids_of(text) + self.end
+        if UNEVEN.search(text) or any(token in text for token in self.added):
+            return self.whole(text) + self.end
+        # A lone space always opens a word, so the pieces between single spaces are encoded one by one.
+        pieces = [" " * (k > 0) + piece for k, piece in enumerate(text.split(" "))]
+        return b"".join([self.ids_of(p) if self.latin(p) else self.whole(p) for p in pieces]) + self.end
 
 
 @lru_cache(1)
@@ -117,10 +80,6 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
         yield part.first, [t or "" for t in batch.column("text").slice(part.first, count).to_pylist()]
 
 
-def _narrow(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-
-
 def train_dictionary(docs: DataFrame, path: str, end_id: int, rows: int = 2000, sample_bytes: int = 32 << 10) -> bytes:
     """A zstandard dictionary from the serialised ids of about `rows` documents, chosen by a hash of
     their ids, of each at most the first `sample_bytes` (samples only shape the dictionary)."""
@@ -128,10 +87,10 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, rows: int = 2000,
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // rows))) == 0).limit(2 * rows)
 
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path, end_id)
+        encoder = _encoder(path, end_id)
         for batch in batches:
             for _, texts in _texts(batch):
-                out = [_narrow(ids, encode.width)[:sample_bytes] for ids in encode(texts)]
+                out = [encoder.encode(t)[:sample_bytes] for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     found = [r["ids"] for r in chosen.mapInArrow(samples, "ids binary").collect()]
@@ -168,18 +127,19 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, text: str
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        encode, uri = _encoder(path, end_id), f"{folder}/shard-{shard:08d}.tok"
+        encoder, uri = _encoder(path, end_id), f"{folder}/shard-{shard:08d}.tok"
         with written(uri) as out:
-            out.write(MAGIC + bytes.fromhex(name) + np.array([encode.width], "<u4").tobytes())
+            out.write(MAGIC + bytes.fromhex(name) + np.array([encoder.width], "<u4").tobytes())
             for batch in chain([first], batches):
                 names = batch.column("doc_id").to_pylist()
                 for start, texts in _texts(batch):
-                    for k, tokens in enumerate(encode(texts)):
-                        frame = squeeze.compress(_narrow(tokens, encode.width))
+                    for k, value in enumerate(texts):
+                        tokens = encoder.encode(value)
+                        frame = squeeze.compress(tokens)
                         out.write(frame)
                         known.append(names[start + k] is not None)
                         ids.append(names[start + k] or 0)
-                        before.append(before[-1] + len(tokens) // 4)
+                        before.append(before[-1] + len(tokens) // encoder.width)
                         offsets.append(offsets[-1] + len(frame))
             for values, kind in ((known, "u1"), (ids, "<i8"), (before, "<u8"), (offsets, "<u8"), ((len(ids), offsets[-1]), "<u8")):
                 out.write(np.array(values, kind).tobytes())
