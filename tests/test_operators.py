@@ -405,3 +405,12 @@ def test_a_file_that_matches_no_template_fails(spark):
     broken = {r["rule"]: r["severity"] for r in V.validate_submission(rows, template, refs).collect()}
     assert broken["no_template"] == "FAIL"
     assert "no_template" not in {r["rule"] for r in V.validate_submission(rows, template.union(rows.select("ID", "row_no").limit(1)), refs).collect()}
+
+
+def test_variants_are_made_once_though_python_makes_one_of_them(spark):
+    rows = spark.createDataFrame([("c, d. " * 300 + "e", "c d " * 300 + "e"), ("a.", "a")], "ref string, hyp string")
+    oracle = F.concat(U.oracle_marks(F.col("ref"), F.col("hyp")), F.lit("MARKER"))
+    counts = S.edit_counts_of(rows, {"hyp": F.col("hyp"), "oracle": oracle})
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("MARKER") == 1
+    got = {(r["variant"], r["ref_words"]): r["char_edits"] for r in counts.collect()}
+    assert got == {("hyp", 1): 1, ("oracle", 1): 6, ("hyp", 601): 600, ("oracle", 601): 6}
