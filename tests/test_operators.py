@@ -444,3 +444,10 @@ def int_unit():
     from tessitura.functions.draws import unit
 
     return unit(F.col("d"))
+
+
+def test_counts_are_read_once_for_both_kinds_of_adjusted_count(spark):
+    rows = spark.createDataFrame([("en", 2, "<s> a", 3), ("en", 2, "b a", 1), ("en", 2, "a </s>", 4), ("en", 1, "a", 4), ("en", 1, "<s>", 3)], "lang string, n int, gram string, c bigint")
+    adjusted = N.kn_continuations(rows, 2)
+    assert "Union" not in adjusted._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["n"], r["gram"], r["a"]) for r in adjusted.collect()} == {(2, "<s> a", 3), (2, "b a", 1), (2, "a </s>", 4), (1, "a", 2), (1, "</s>", 1)}
