@@ -31,3 +31,9 @@ def test_entry_has_rows(spark):
 def test_query_matches_sql(spark, name):
     got = QUERIES[name](spark, SF).toPandas()
     assert compare(got, connect(SF).sql(SQL[name]).df()) == ""
+
+
+@pytest.mark.parametrize("name", ["bakeoff", "bakeoff_total", "control_delta", "plus_period_by_lang"])
+def test_raw_and_dotted_are_aligned_in_one_pass(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[_words(") <= 1
