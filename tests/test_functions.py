@@ -2,6 +2,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,14 @@ def test_long_pairs_of_text(spark):
     rows = spark.createDataFrame([(a, a.replace("é", "e")), (a, ""), ("x" * 600, "x" * 590), ("a b", "a c"), ("", "b"), ("", "")], "a string, b string")
     got = rows.select(distance.char_distance(F.col("a"), F.col("b")).alias("c"), distance.word_distance(F.col("a"), F.col("b")).alias("w")).collect()
     assert [r["c"] for r in got] == [300, 1500, 10, 1, 1, 0] and [r["w"] for r in got] == [300, 601, 1, 1, 1, 0]
+
+
+def test_equal_ends_are_not_aligned(monkeypatch):
+    seen = []
+    columns = distance._columns
+    monkeypatch.setattr(distance, "_columns", lambda longer, *rest: seen.append(longer.shape) or columns(longer, *rest))
+    same = "the same words " * 15
+    texts = [(f"{same}{'x' * (i % 7)} {same}", f"{same}y{i % 3} {same}") for i in range(200)] + [("", "ab"), ("ab", "ab"), ("aab", "ab")]
+    got = distance._both(pa.array([a for a, _ in texts]), pa.array([b for _, b in texts]), distance._letters).to_pylist()
+    assert seen and max(width for _, width in seen) == 64
+    assert got == [distance._banded(*(np.array([ord(c) for c in t], np.int64) for t in pair), 1000) if all(pair) else 2 for pair in texts]
