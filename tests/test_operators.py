@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import random
@@ -451,3 +452,18 @@ def test_counts_are_read_once_for_both_kinds_of_adjusted_count(spark):
     adjusted = N.kn_continuations(rows, 2)
     assert "Union" not in adjusted._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["n"], r["gram"], r["a"]) for r in adjusted.collect()} == {(2, "<s> a", 3), (2, "b a", 1), (2, "a </s>", 4), (1, "a", 2), (1, "</s>", 1)}
+
+
+def test_noise_of_a_batch_is_drawn_together(spark):
+    rows = spark.createDataFrame([(f"k{i}", "a b c" if i % 3 else "a", float(i % 4) / 4) for i in range(60)], "k string, t string, r double")
+    vocab = A.noise_vocabulary(rows.select(F.lit("x y z").alias("t")), "t")
+    out = A.corrupt_words(rows, F.split("t", " "), "k", vocab, F.col("r"))
+    assert "zip_with" not in out._jdf.queryExecution().optimizedPlan().toString()
+    vocabulary = [r["word"] for r in vocab.orderBy("idx").collect()]
+    for row in out.collect():
+        want, said = [], row["t"].split(" ")
+        parts = lambda at: [int(hashlib.md5(f"1337|{row['k']}|{at}".encode()).hexdigest()[8 * k : 8 * k + 8], 16) for k in (0, 1)]  # noqa: B023, E731
+        for i, w in enumerate(said):
+            u, word = parts(i)[0] / 2**32, vocabulary[parts(i)[1] % 3]
+            want += [word] if u < row["r"] * 0.7 else [] if u < row["r"] * 0.9 else [w, word] if u < row["r"] else [w]
+        assert row["noisy"] == (want or [vocabulary[parts("empty")[1] % 3]])
