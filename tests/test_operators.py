@@ -240,6 +240,25 @@ def test_naive_bayes_counts_unseen_words(spark):
     assert {r["k"]: r["lang"] for r in lid.nb_predict(test, "t", "k", model, ["en", "fr"]).collect()} == {1: "en", 2: "fr", 3: "??"}
 
 
+@pytest.mark.parametrize("held", [0, 2, 1 << 19])
+def test_naive_bayes_scores_inside_the_row(spark, monkeypatch, held):
+    # However many words the tasks hold, scores are the same; rows that share a key are scored together.
+    monkeypatch.setattr(lid, "HELD", held)
+    train = spark.createDataFrame([("en", "the cat the dog the"), ("en", "the end"), ("fr", "le chat le chien"), ("fr", "le zoo")], "lang string, t string")
+    rows = spark.createDataFrame([(1, "The dog  zoo zoo nowhere"), (1, "le\u00a0cat"), (2, "le"), (3, ""), (4, None)], "k int, t string")
+    model = lid.nb_fit(train, "t", ["en", "fr", "de"])
+    scored = lid.nb_score_rows(rows, "t", "k", model, ["en", "fr", "de"])
+    got = {r["k"]: r for r in scored.collect()}
+    counts = {"en": {"the": 4, "cat": 1, "dog": 1, "end": 1}, "fr": {"le": 3, "chat": 1, "chien": 1, "zoo": 1}}
+    texts = {1: "the dog zoo zoo nowhere le cat".split(), 2: ["le"]}
+    assert {k: (r["copies"], r["tokens"]) for k, r in got.items()} == {1: (2, 7), 2: (1, 1)}
+    for k, ws in texts.items():
+        want = {lg: math.log(1 / 2) + sum(math.log((c.get(w, 0) + 1) / (sum(c.values()) + 8)) for w in ws) for lg, c in counts.items()}
+        assert got[k]["scores"].asDict() == pytest.approx(want)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == (0 if held > 2 else 1)
+
+
 def test_hot_keys_join_like_any_other(spark):
     left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(90)], "i int, w string")
     table = spark.createDataFrame([("hot", 7)] + [(f"k{i}", i) for i in range(0, 60)], "w string, v int")
