@@ -2,6 +2,7 @@ import hashlib
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,6 +230,26 @@ def test_kneser_ney_sums_to_one_per_context(spark):
     assert scored["oov"] == 1 and scored["tokens"] == 4
 
 
+@pytest.mark.parametrize("order", [1, 2, 5])
+def test_ngrams_of_every_order_are_counted_where_windows_meet(spark, order):
+    rows = [("en", "a b a b", 1), ("en", "a b a b", 10), ("en", "", 2), ("fr", "a b", 1), ("en", "c", 3)]
+    df = spark.createDataFrame(rows, "lang string, sentence string, w int")
+    counts = N.ngram_counts(df, order, F.col("w"))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for lang, text, w in rows:
+        p = ["<s>", *text.split(), "</s>"]
+        for n in range(1, order + 1):
+            for i in range(len(p) - n + 1):
+                key = (lang, n, " ".join(p[i : i + n]))
+                want[key] = want.get(key, 0) + w
+    assert {(r["lang"], r["n"], r["gram"]): r["c"] for r in counts.collect()} == want
+    # Equal lines are one row, and no gram above the first order travels by itself.
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert any("_line#" in k for k in keys)
+    assert sum("gram#" in k for k in keys) == 1 and all(("_head#" in k) <= (order > 1) for k in keys)
+
+
 def test_naive_bayes_counts_unseen_words(spark):
     train = [("en", "a a b"), ("en", "b c"), ("fr", "x y"), ("fr", "x a z z z z z z")]
     rows = spark.createDataFrame(train, "lang string, t string")
