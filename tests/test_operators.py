@@ -4,9 +4,11 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessitura.functions import text as T
 from tessitura.operators import corpus as C
 from tessitura.operators import experiments as E
 from tessitura.operators import frames as L
@@ -507,3 +509,15 @@ def test_noise_of_a_batch_is_drawn_together(spark):
             u, word = parts(i)[0] / 2**32, vocabulary[parts(i)[1] % 3]
             want += [word] if u < row["r"] * 0.7 else [] if u < row["r"] * 0.9 else [w, word] if u < row["r"] else [w]
         assert row["noisy"] == (want or [vocabulary[parts("empty")[1] % 3]])
+
+
+def test_words_of_the_vocabulary_leave_a_task_once(spark, monkeypatch):
+    texts = [None, "", "a. b", "b, a.", "- a", "«c» a. b"] * 40
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    vocab = A.noise_vocabulary(rows, "t", T.strip_punct)
+    assert sorted((r["idx"], r["word"]) for r in vocab.collect()) == [(i, w) for i, w in enumerate(sorted("abc", key=lambda w: hashlib.md5(w.encode()).hexdigest()))]
+    batch = lambda *ts: pa.RecordBatch.from_arrays([pa.array(ts, pa.string())], ["t"])
+    told = lambda: [sorted(b.column(0).to_pylist()) for b in A._distinct_words(iter([batch("x y x", None), batch("y x"), batch("z x")]))]
+    assert told() == [["x", "y", "z"]]
+    monkeypatch.setattr(A, "TOLD", 2)
+    assert told() == [["x", "y"], ["x", "y"], ["x", "z"], []]
