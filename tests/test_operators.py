@@ -372,6 +372,21 @@ def test_restored_text_keeps_its_words(spark):
     assert U.add_marks_additive(rows, "k", "ws", prob, [0.5]).first()["restored"] == "A b, c. b, b"
 
 
+def test_marks_are_put_where_rows_are_and_joined_ones_agree(spark, monkeypatch):
+    texts = ["a b, c b", "Ünder a", "", None, "c", "x y z"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", F.split("t", " ").alias("ws"))
+    prob = spark.createDataFrame([("a", 9, 0.6, 0.1), ("b", 9, 0.1, 0.9), ("c", 9, 0.7, 0.75), ("ünder", 9, 0.2, 0.8)], "word string, n long, p1 double, p2 double")
+    for additive in (False, True):
+        held = U.restored_texts(rows, "k", "ws", prob, [0.5, 0.7, 0.85], additive)
+        plan = held._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+        with monkeypatch.context() as m:
+            m.setattr(U, "SHIPPED_BYTES", -1)
+            joined = U.restored_texts(rows, "k", "ws", prob, [0.5, 0.7, 0.85], additive)
+        want = {r["k"]: r["restored"] for r in joined.collect()}
+        assert {r["k"]: r["restored"] for r in held.collect()} == want and len(want) == len(texts)
+
+
 def test_prf(spark):
     rows = spark.createDataFrame([(1, 1)] * 3 + [(1, 2), (0, 1), (2, 0)], "label int, pred int")
     got = {r["label"]: (r["tp"], r["fp"], r["fn"]) for r in U.token_prf(rows).collect()}
