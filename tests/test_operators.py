@@ -372,6 +372,25 @@ def test_restored_text_keeps_its_words(spark):
     assert U.add_marks_additive(rows, "k", "ws", prob, [0.5]).first()["restored"] == "A b, c. b, b"
 
 
+def test_variants_of_a_row_are_aligned_in_one_pass(spark):
+    long = " ".join(f"w{k % 37}" for k in range(600))
+    refs = ["a b c.", "x", long, "wide  gap here", "ünï cödé"]
+    rows = spark.createDataFrame(list(enumerate(refs)), "i int, ref string")
+    ref = F.col("ref")
+    variants = {
+        "same": ref, "dot": F.concat(ref, F.lit(".")), "again": F.concat(ref, F.lit(".")), "none": F.lit(None).cast("string"),
+        "empty": F.lit(""), "cut": F.substring(ref, 3, 2000), "back": F.reverse(ref),
+    }
+    counts = S.edit_counts_of(rows, variants)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    got = {(r["variant"], r["i"]): tuple(r[c] for c in S.EDITS) for r in counts.collect()}
+    want = {}
+    for name, hyp in variants.items():
+        want |= {(name, r["i"]): tuple(r[c] for c in S.EDITS) for r in S.edit_counts(rows.withColumn("hyp", hyp)).collect()}
+    assert got == want and len(got) == 7 * len(refs)
+
+
 def test_marks_are_put_where_rows_are_and_joined_ones_agree(spark, monkeypatch):
     texts = ["a b, c b", "Ünder a", "", None, "c", "x y z"]
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", F.split("t", " ").alias("ws"))
