@@ -409,6 +409,15 @@ def test_poisson_weights_are_read_from_digits(spark):
     assert row["n_boot"] == 40 and row["lo"] == pytest.approx(at(0.025)) and row["hi"] == pytest.approx(at(0.975))
 
 
+def test_several_files_meet_once(spark):
+    a = spark.sql("SELECT * FROM VALUES ('k', 'A b'), ('k', 'x'), ('l', 'y'), (NULL, 'z') AS t(k, t)")
+    b = spark.sql("SELECT * FROM VALUES ('k', 'a b', 'x'), ('l', 'y', NULL), (NULL, 'z', 'z') AS t(k, one, two)")
+    both = P.align_several(a, b, "k", "t", {"one": "one", "two": "two"})
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    want = {n: tuple(P.align_files(a, b.withColumn("t", F.col(n)), "k", "t").first()) for n in ("one", "two")}
+    assert {r["against"]: tuple(r)[:4] for r in both.collect()} == want == {"one": (3, 1, 1, 1), "two": (3, 1, 0, 1)}
+
+
 def test_marks_are_put_where_rows_are_and_joined_ones_agree(spark, monkeypatch):
     texts = ["a b, c b", "Ünder a", "", None, "c", "x y z"]
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", F.split("t", " ").alias("ws"))
