@@ -37,3 +37,8 @@ def test_query_matches_sql(spark, name):
 def test_raw_and_dotted_are_aligned_in_one_pass(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[_words(") <= 1
+
+
+@pytest.mark.parametrize("name", ["falsify_hypotheses", "falsify_corrected", "route_projection"])
+def test_anchors_are_rows_before_they_are_read_as_scalars(spark, name):
+    assert "[_chars(" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
